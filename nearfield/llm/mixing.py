@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import materialize, running_sum
 
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
 SIZE = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
@@ -53,7 +53,7 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tu
     (how many of its offers the queue takes) and taken; `keep` is carried."""
     sized, _ = materialize(docs.select("doc_id", "source", SIZE.alias("size"), *keep), "sized")
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
     known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     known, _ = materialize(known, "targets")
     d = sized.join(known.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

@@ -32,13 +32,27 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from nearfield.llm.tokens import token_output
+
+    return token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.sharding import shard_table
 
     return shard_table(read(spark, sf_dir, "documents")).drop("row_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op8_shard)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.langid import predict
+
+    return predict(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op7_tokens, op8_shard, op10_langid)}
 
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

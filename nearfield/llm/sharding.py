@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import running_sum
 
 ROUNDS = 6
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def unpermute(p: np.ndarray, n: int, seed: int) -> np.ndarray:
 def row_numbers(df: DataFrame, rows: int, order: list[str], out: str) -> DataFrame:
     """Add `out`, 0..rows-1 in the order of a hash of `order`, then `order`.
     It depends on the rows alone, not on how they are partitioned."""
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
     hashed = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.pmod("_h", F.lit(buckets))).withColumn("_one", F.lit(1))
     return running_sum(hashed, [], "_b", ["_h", *order], "_one", "_upto").withColumn(out, F.col("_upto") - 1).drop("_h", "_b", "_one", "_upto")
 
