@@ -32,6 +32,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.html_main import extract
 
@@ -58,7 +64,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op6_html, op7_tokens, op8_shard, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op5_near_duplicates, op6_html, op7_tokens, op8_shard, op10_langid)}
 
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
