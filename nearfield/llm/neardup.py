@@ -257,9 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept, one for each doc_id, with their columns."""
-    found = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count("*").alias("_rows"))
-    gone = found.where("_kept = 0 OR _rows > 1").select(F.col("doc_id").alias("_id"), "_kept").where("_kept = 0 OR _kept = 1")
-    gone, _ = materialize(gone, "gone")
+    found = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count("*").alias("_rows"))
+    gone, _ = materialize(found.where("_kept = 0 OR _rows > 1").select("_id", "_kept"), "gone")
     rest = docs.join(gone.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
     # Rows that repeat a kept doc_id: one of them stays.
     again = docs.join(gone.where("_kept = 1").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])

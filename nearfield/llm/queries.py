@@ -58,13 +58,19 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.suffix import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.langid import predict
 
     return predict(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op5_near_duplicates, op6_html, op7_tokens, op8_shard, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_urls, op4_mix, op5_near_duplicates, op6_html, op7_tokens, op8_shard, op9_repeats, op10_langid)}
 
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
