@@ -6,9 +6,9 @@ SHARD_TOKENS ids (a document is never split) into the shared folder. Every
 attempt of a task writes files of its own name; only those that a finished
 attempt reported count, so lost executors leave no half or double shards.
 
-Splitting at plain spaces and line feeds changes no token of a tokenizer whose
-pre-tokenizer drops white space, so pieces between them are encoded once and
-kept in a bounded table.
+Splitting at ASCII white space changes no token of a tokenizer whose
+pre-tokenizer drops white space, so the pieces between are encoded once and kept
+in a bounded table.
 
 Defined cases: null or empty text has the end id only; null doc_id comes first;
 repeated rows are documents of their own; an empty table writes no file; extra
@@ -22,33 +22,136 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import materialize, new_path
 
-SHARD_TOKENS, CACHED_PIECES, END_ID = 8_000_000, 400_000, 2
+SHARD_TOKENS, CACHED_PIECES, SLICE_BYTES, END_ID = 8_000_000, 600_000, 24_000_000, 2
 _loaded: dict[str, tuple] = {}
 
 
+#: Letters that normalizers (NFC, lower case) turn into letters; all others are encoded piece by piece.
+WORD, CLOSED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$"
+
+
+def _spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (counts[0] numbers), begin[1], ..."""
+    n = int(counts.sum())
+    kind = np.int32 if n < 2**31 else np.int64
+    out = np.repeat((begin - (np.cumsum(counts) - counts)).astype(kind), counts)
+    out += np.arange(n, dtype=kind)
+    return out
+
+
+class _Table(dict):
+    """Pieces -> numbers; a new piece gets the next one and waits in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
-    """Whole texts -> ids, through a bounded table of pieces."""
+    """Whole texts -> ids, through a bounded table of pieces. When it is full,
+    the half that was used most stays."""
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.table: dict[str, tuple] = {"": ()}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.table)
-        if len(self.table) + len(new) > self.cached:
-            self.table = {"": ()}
-            new = set(chain.from_iterable(split)).difference(self.table)
-        ordered = list(new)
-        self.table.update((p, tuple(e.ids)) for p, e in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False), strict=True))
-        return [np.fromiter(chain.from_iterable(map(self.table.__getitem__, pieces)), np.uint32) for pieces in split]
+        self.table = _Table()
+        self.begin, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.ids = np.zeros(0, self.kind)
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        for name, i in names:
+            self.ends[i] = name.endswith("</w>")
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in a row, and how many each has."""
+        # Pieces of letters are one word each: they are encoded together and told apart by word ends.
+        chosen = np.flatnonzero(pc.match_substring_regex(pieces, WORD).to_numpy(zero_copy_only=False))
+        plain = pieces.take(pa.array(chosen)).to_pylist()
+        joined = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.asarray(e.ids, self.kind) for e in joined] or [np.zeros(0, self.kind)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(chosen) or len(ids) != (last[-1] + 1 if len(last) else 0):
+            raise ValueError("the tokenizer doesn't end words as expected")
+        counts = np.zeros(len(pieces), np.int64)
+        counts[chosen] = np.diff(np.concatenate([[-1], last]))
+        others = np.setdiff1d(np.arange(len(pieces)), chosen, assume_unique=True)
+        alone = [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(others)).to_pylist(), add_special_tokens=False)]
+        counts[others] = [len(a) for a in alone]
+        begin = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), self.kind)
+        out[_spread(begin[chosen], counts[chosen])] = ids
+        out[_spread(begin[others], counts[others])] = np.concatenate([*alone, np.zeros(0, self.kind)])
+        return out, counts
+
+    def _learn(self) -> None:
+        pieces, self.table.new = pa.array(self.table.new, pa.string()), []
+        # Letters and one closing point or comma are two words; the first is encoded once.
+        two = pc.match_substring_regex(pieces, CLOSED)
+        heads = pc.if_else(two, pc.utf8_rtrim(pieces, ".,"), pieces).dictionary_encode()
+        head = heads.indices.to_numpy()
+        tail = np.where(two.to_numpy(zero_copy_only=False), np.where(pc.ends_with(pieces, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
+        ids, counts = self._ids(pa.concat_arrays([heads.dictionary, pa.array([".", ","])]))
+        begin = np.cumsum(counts) - counts
+        n = counts[head] + (tail > 0)
+        start = np.cumsum(n) - n
+        flat = np.zeros(int(n.sum()), self.kind)
+        flat[_spread(start, counts[head])] = ids[_spread(begin[head], counts[head])]
+        closed = np.flatnonzero(tail)
+        flat[start[closed] + counts[head[closed]]] = ids[begin[len(heads.dictionary) - 1 + tail[closed]]]
+        self.begin = np.concatenate([self.begin, start + len(self.ids)])
+        self.length = np.concatenate([self.length, n])
+        self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _forget(self) -> None:
+        names = list(self.table)
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.cached // 2])
+        begin, n = self.begin[keep], self.length[keep]
+        self.ids = self.ids[_spread(begin, n)]
+        self.begin, self.length, self.uses = np.cumsum(n) - n, n, self.uses[keep] // 2
+        self.table = _Table()
+        for i, k in enumerate(keep.tolist()):
+            self.table[names[k]] = i
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: none) in a row, and where each text's end."""
+        if len(self.table) > self.cached:
+            self._forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        pieces = split.flatten().dictionary_encode()
+        each = np.fromiter(map(self.table.__getitem__, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        if self.table.new:
+            self._learn()
+        which = each[pieces.indices.to_numpy()]
+        self.uses += np.bincount(which, minlength=len(self.uses))
+        n = self.length[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[_spread(self.begin[which], n)]
+        offsets = split.offsets.to_numpy()
+        return ids, upto[offsets[1:] - offsets[0]]
+
+
+def slices(texts: pa.Array, limit: int):
+    """(from, to) of consecutive texts of about `limit` bytes together."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)
+        yield at, min(to, len(texts))
+        at = to
 
 
 def encoder(path: str) -> Encoder:
@@ -70,24 +173,25 @@ def _writer(tokenizer_path: str, folder: str, shard_tokens: int, end_id: int):
 
         enc, (store, root) = encoder(tokenizer_path), fs.FileSystem.from_uri(folder)
         part, attempt, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
-        docs, arrays, held = [], [], 0
+        docs, arrays, sizes, held, end = [], [], [], 0, np.array([end_id], enc.kind)
 
         def flush():
-            nonlocal docs, arrays, held, made
+            nonlocal docs, arrays, sizes, held, made
             name = f"shard-{part:06d}-{made:06d}-{attempt}.wm"
             with store.open_output_stream(f"{root}/{name}") as f:
-                f.write(encode(np.concatenate(arrays), docs, np.cumsum([len(a) for a in arrays])))
+                f.write(encode(np.concatenate(arrays), docs, np.cumsum(sizes)))
             row = pa.RecordBatch.from_pydict({"name": [name], "part": [part], "seq": [made], "tokens": [held]}, schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("tokens", pa.int64())]))
-            docs, arrays, held, made = [], [], 0, made + 1
+            docs, arrays, sizes, held, made = [], [], [], 0, made + 1
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                for doc_id, ids in zip(few.column(0).to_pylist(), enc.encode([t or "" for t in few.column(1).to_pylist()]), strict=True):
+            for at, to in slices(batch.column(1), SLICE_BYTES):
+                ids, ends = enc.encode(batch.column(1).slice(at, to - at))
+                for doc_id, own in zip(batch.column(0).slice(at, to - at).to_pylist(), np.split(ids, ends[:-1]), strict=True):
                     docs.append(doc_id)
-                    arrays.append(np.append(ids, np.uint32(end_id)))
-                    held += len(ids) + 1
+                    arrays += [own, end]
+                    sizes.append(len(own) + 1)
+                    held += len(own) + 1
                     if held >= shard_tokens:
                         yield flush()
         if docs:
