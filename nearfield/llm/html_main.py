@@ -23,12 +23,14 @@ import html as entities
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import materialize
 
 LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 4
+BROADCAST_ROWS = 200_000  # (host, path) rows; beyond it the join shuffles
 
 #: Elements that never hold a page's main text.
 NOISE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object embed svg canvas button select option datalist textarea input dialog menu audio video map math".split())
@@ -134,28 +136,44 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
-def _parse_all(batches):
+def _shown(batches):
+    """Rows (host, html) -> (host, path, content) of each different block of a page."""
     for pdf in batches:
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "blocks": [[dict(zip(("path", "text", "noise", "article"), b, strict=True)) for b in blocks(h or "")] for h in pdf["html"]]})
+        rows = [(host, path, content) for host, page in zip(pdf["host"], pdf["html"], strict=True) for path, content in {(b[0], xxhash.xxh64_intdigest(b[1]) - (1 << 63)) for b in blocks(page or "")}]
+        yield pd.DataFrame(rows, columns=["host", "path", "content"]).astype({"content": "int64"})
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """host, path, pages, importance: the merged pages of every host. Only
-    hashes of the contents are shuffled, counted before and after."""
-    shown = parsed.select("host", F.explode(F.array_distinct(F.expr("transform(blocks, b -> struct(b.path AS path, xxhash64(b.text) AS content))"))).alias("b")).select("host", "b.*")
+def style_tree(pages: DataFrame) -> DataFrame:
+    """host, path, pages, importance: the merged pages (host, html) of every
+    host. Only hashes of the contents are shuffled, counted before and after."""
+    shown = pages.select("host", "html").mapInPandas(_shown, "host string, path string, content long")
     counts = shown.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
     tree = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("_s"))
     # Entropy of n_i / m over log m = 1 - sum(n_i log n_i) / (m log m).
     return tree.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("_s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias("importance"))
 
 
+def main_text(page: str | None, low: set[str]) -> str:
+    """The page's main text; low: paths that are of little importance on its host."""
+    found = [b for b in blocks(page or "") if not b[2]]
+    main = any(b[3] for b in found)
+    return " ".join(b[1] for b in found if (b[3] if main else b[0] not in low))
+
+
+def _texts(batches):
+    for pdf in batches:
+        text = [main_text(page, set(low) if low is not None else set()) for page, low in zip(pdf["html"], pdf["_low"], strict=True)]
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
+
+
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars per page."""
+    """page_id, url, text, n_chars per page. Pages are parsed twice, for the
+    tree and for the texts; their texts are never shuffled while the paths to
+    remove are few enough to be sent to every executor."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
     page = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    parsed, _ = materialize(page.mapInPandas(_parse_all, "page_id string, url string, host string, blocks array<struct<path: string, text: string, noise: boolean, article: boolean>>"), "pages")
-    low = style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("importance") < least)).groupBy("host").agg(F.collect_list("path").alias("_low"))
-    judged = parsed.join(low, "host", "left").withColumn("_main", F.exists("blocks", lambda b: b["article"] & ~b["noise"]))
-    keep = F.expr("transform(filter(blocks, b -> NOT b.noise AND IF(_main, b.article, NOT coalesce(array_contains(_low, b.path), false))), b -> b.text)")
-    out = judged.withColumn("text", F.array_join(keep, " "))
+    low, _ = materialize(style_tree(page).where((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path"), "low")
+    by_host = low.groupBy("host").agg(F.collect_list("path").alias("_low"))
+    by_host = F.broadcast(by_host) if low.count() <= BROADCAST_ROWS else by_host
+    out = page.join(by_host, "host", "left").select("page_id", "url", "html", "_low").mapInPandas(_texts, "page_id string, url string, text string")
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
