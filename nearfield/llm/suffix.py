@@ -87,28 +87,55 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(rest[: n - w + 1], upto[w - 1 : n])
 
 
-def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor's offset from start, anchor hash, run hash)."""
+def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor's offset from start, anchor hash, run hash)
+    of the runs of all texts. Texts are joined into blocks of bounded size; a
+    window is used only if it lies in one text. Longer texts are cut into
+    blocks, and a run that goes on in the next block is two runs."""
+    found, group, held = [], [], 0
+
+    def settle():
+        nonlocal group, held
+        if group:
+            found.append(_block(group, length))
+        group, held = [], 0
+
+    for i, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), BLOCK):
+            part = text[at : at + BLOCK + length - 1] if len(text) > BLOCK else text
+            if held + len(part) > BLOCK:
+                settle()
+            group.append((i, at, part))
+            held += len(part)
+    settle()
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(6))
+
+
+def _block(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
     gram = min(GRAM, length)
-    found = []
-    for at in range(0, max(0, len(data) - length + 1), BLOCK):
-        part = data[at : at + BLOCK + length - 1]
-        hasher = Hasher(part)
-        grams = np.arange(len(part) - gram + 1)
-        h = hasher(grams, grams + gram)
-        # The least hash decides, in a tie the rightmost place.
-        key = (h & ~_LOW) | (_LOW - grams.astype(np.uint64))
-        anchor = (_LOW - (_least(key, length - gram + 1) & _LOW)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.diff(np.concatenate([first, [len(anchor)]]))
-        offset = anchor[first] - first
-        run = mix(hasher(first, first + count - 1 + length) + (offset * 65536 + count).astype(np.uint64))
-        found.append((first + at, count, offset, h[anchor[first]], run))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(5))
-
-
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
+    sizes = np.array([len(p) for _, _, p in group])
+    ends = np.cumsum(sizes)
+    hasher = Hasher(data)
+    grams = np.arange(len(data) - gram + 1)
+    h = hasher(grams, grams + gram)
+    # The least hash decides, in a tie the rightmost place.
+    key = (h & ~_LOW) | (_LOW - grams.astype(np.uint64))
+    anchor = (_LOW - (_least(key, length - gram + 1) & _LOW)).astype(np.int64)
+    windows = sizes - length + 1
+    text = np.repeat(np.arange(len(group)), windows)
+    window = np.repeat(ends - sizes - (np.cumsum(windows) - windows), windows) + np.arange(len(text))
+    of = anchor[window]
+    at = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (text[1:] != text[:-1])]))
+    first, count, of, text = window[at], np.diff(np.concatenate([at, [len(window)]])), of[at], text[at]
+    offset = of - first
+    run = mix(hasher(first, first + count - 1 + length) + (offset * 65536 + count).astype(np.uint64))
+    start = first - (ends - sizes)[text] + np.array([a for _, a, _ in group])[text]
+    return np.array([i for i, _, _ in group])[text], start, count, offset, h[of], run
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.string()).cast(pa.binary()).to_pylist()]
 
 
 def _pack(start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -119,15 +146,9 @@ def _anchors(length: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                held, size = [], 0
-                for i, text in enumerate(batch.column(0).to_pylist()):
-                    held.append(runs(_bytes(text), length)[3])
-                    size += len(held[-1])
-                    if size > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
-                        held, size = [], 0
-                if size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).astype(np.uint64).view(np.int64))], names=["h"])
+                for at in range(0, batch.num_rows, 1000):
+                    h = runs(_bytes(batch.column(0).slice(at, 1000)), length)[4]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64))], names=["h"])
 
     return run
 
@@ -138,18 +159,11 @@ def _runs(length: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, th = batch.column(0).cast(pa.int64()), batch.column(1)
-                held, size = [], 0
-                texts = batch.column(2).to_pylist()
-                for i, text in enumerate(texts):
-                    start, count, offset, h, ctx = runs(_bytes(text), length)
-                    held.append((np.full(len(start), i), h, ctx, _pack(start, count, offset)))
-                    size += len(start)
-                    if size > 100_000 or i == len(texts) - 1:
-                        rows, h, ctx, place = (np.concatenate(c) for c in zip(*held, strict=True))
-                        if len(rows):
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), th.take(pa.array(rows)), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(place)], names=names)
-                        held, size = [], 0
+                for at in range(0, batch.num_rows, 1000):
+                    few = batch.slice(at, 1000)
+                    text, start, count, offset, h, ctx = runs(_bytes(few.column(2)), length)
+                    rows = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([few.column(0).cast(pa.int64()).take(rows), few.column(1).take(rows), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64)), pa.array(_pack(start, count, offset))], names=names)
 
     return run
 
@@ -175,32 +189,36 @@ def _pieces(length: int, size: int):
     to cut, null for all."""
     names = ["run", "h", "ctx", "piece", "at", "n"]
 
+    def cut(few):
+        place = few.column(2).to_numpy()
+        data = few.column(3)
+        edge = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        base = edge[:-1] - edge[0]
+        hasher = Hasher(np.frombuffer(data.buffers()[2], np.uint8)[edge[0] : edge[-1]])
+        count, offset = place >> 12 & 4095, place & 4095
+        row = np.repeat(np.arange(len(place)), count)
+        window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        distance = offset[row] - window
+        piece = distance // size
+        first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])]))
+        n = np.diff(np.concatenate([first, [len(row)]]))
+        wanted = few.column(4)
+        if wanted.null_count < len(wanted):
+            lists = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+            keep = np.isin(row[first] * 4096 + distance[first] // PIECE, lists * 4096 + wanted.flatten().to_numpy())
+            first, n = first[keep], n[keep]
+        row, at, q, distance = row[first], window[first], piece[first], distance[first]
+        # What all windows of a piece share starts `size * q` before the anchor.
+        core = base[row] + offset[row] - size * q
+        h = mix(hasher(core, core + length - size + 1) + few.column(1).to_numpy().view(np.uint64)[row] + q.astype(np.uint64))
+        ctx = mix(hasher(base[row] + at, base[row] + at + n - 1 + length) + (distance * 65536 + n).astype(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (few.column(0).to_numpy()[row], h.view(np.int64), ctx.view(np.int64), q, at, n)], names=names)
+
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                out, held = [], 0
-                for run_id, anchor, place, data, wanted in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    count, offset = place >> 12 & 4095, place & 4095
-                    hasher = Hasher(np.frombuffer(data, np.uint8))
-                    distance = offset - np.arange(count)
-                    piece = distance // size
-                    at = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-                    n = np.diff(np.concatenate([at, [count]]))
-                    if wanted is not None:
-                        keep = np.isin(distance[at] // PIECE, wanted)
-                        at, n = at[keep], n[keep]
-                    q = piece[at]
-                    # What all windows of a piece share starts `size * q` before the anchor.
-                    core = offset - size * q
-                    h = mix(hasher(core, core + length - size + 1) + U(anchor & (2**64 - 1)) + q.astype(np.uint64))
-                    ctx = mix(hasher(at, at + n - 1 + length) + (distance[at] * 65536 + n).astype(np.uint64))
-                    out.append((np.full(len(at), run_id), h.view(np.int64), ctx.view(np.int64), q, at, n))
-                    held += len(at)
-                    if held > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+                for at in range(0, batch.num_rows, 2000):
+                    yield cut(batch.slice(at, 2000))
 
     return run
 
