@@ -4,10 +4,9 @@ Words are the maximal runs outside ASCII punctuation, space and control
 characters, after lower-casing A-Z. An item's windows are its runs of 13 words
 (an item of fewer words is one window). Winnowing: of every window's k-grams the
 least hash is its fingerprint. Equal windows have equal fingerprints, so joining
-the fingerprints of the corpus with those of the items finds every shared window;
-a run of neighbouring windows with one fingerprint is one row (about a quarter of
-the words). Each hit is then extended: the run's windows are compared with the
-items' windows word by word.
+the fingerprints of the corpus with those of the items finds every shared window.
+A bit map of the items' fingerprints first drops most windows that share none;
+each hit is then extended to its whole window, compared word by word.
 
 Defined cases: null or wordless texts have no words and no hits; a null item_id
 makes hits but isn't listed; repeated items count once; repeated documents each
@@ -16,14 +15,17 @@ get a row; empty tables give no hits or no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import ascii_lower
 
 WINDOW, GRAM = 13, 7
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 1_000_000  # rows of item fingerprints or windows that are sent to every executor; beyond it the join shuffles
+SIEVE_WORDS = 1 << 14  # 64-bit numbers in the bit map of fingerprints
+BROADCAST_ROWS = 1_000_000  # rows of item windows that are sent to every executor; beyond it the join shuffles
 
 
 def _words(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,22 +34,41 @@ def _words(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, words.alias("_w")).select(*keys, F.size("_w").cast("long").alias("n_words"), F.transform("_w", lambda w: F.xxhash64(w)).alias("hs"))
 
 
-def _fingerprints(df: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Rows (keys, print, first, part): a run of windows of `span` words that
-    share a fingerprint, from word `first`; part: the hashes of all its words."""
+def _runs_of(df: DataFrame, keep: list[str], column: str, n: int, how: str) -> DataFrame:
+    """`column`, an array, becomes that of `how` (of x and y) over every n
+    neighbours, in steps of doubled width; the last step overlaps."""
+    width = 1
+    while width < n:
+        by = min(width, n - width)
+        step = f"zip_with(slice({column}, 1, size({column}) - {by}), slice({column}, {1 + by}, size({column}) - {by}), (x, y) -> {how})"
+        df, width = df.select(*keep, F.expr(step).alias(column)), width + by
+    return df
+
+
+def _minima(df: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """keys, hs, _m: the fingerprint of each window of `span` words."""
     k = min(GRAM, span)
-    d = df.where(F.col("n_words") >= span)
-    d = d.select(*keys, "hs", F.expr(f"transform(sequence(1, int(n_words) - {k - 1}), i -> xxhash64(slice(hs, i, {k})))").alias("_g"))
-    d = d.select(*keys, "hs", F.expr(f"transform(sequence(1, size(_g) - {span - k}), i -> array_min(slice(_g, i, {span - k + 1})))").alias("_m"))
-    d = d.select(*keys, "hs", "_m", F.expr("filter(sequence(1, size(_m)), i -> i = 1 OR _m[i - 1] <> _m[i - 2])").alias("_s"))
-    runs = f"""transform(_s, (i, n) -> struct(_m[i - 1] AS print, i AS first,
-        slice(hs, i, coalesce(get(_s, n + 1), size(_m) + 1) - i + {span - 1}) AS part))"""
-    return d.select(*keys, F.expr(f"inline({runs})"))
+    d = df.where(F.col("n_words") >= span).select(*keys, "hs", F.col("hs").alias("_m"))
+    d = _runs_of(d, [*keys, "hs"], "_m", k, "xxhash64(x, y)")
+    return _runs_of(d, [*keys, "hs"], "_m", span - k + 1, "least(x, y)")
+
+
+def _windows(minima: DataFrame, keys: list[str], span: int, sieve: Column | None = None) -> DataFrame:
+    """Rows (keys, print, at, win): fingerprint, place and words of each window.
+    A sieve lets through only windows whose fingerprint's bit it holds."""
+    d = minima
+    at = "sequence(1, size(_m))"
+    if sieve is not None:
+        d = d.withColumn("_sieve", sieve)
+        at = f"filter({at}, i -> shiftright(_sieve[int(shiftright(_m[i - 1], 6) & {SIEVE_WORDS - 1})], int(_m[i - 1] & 63)) & 1 = 1)"
+    return d.select(*keys, F.expr(f"inline(transform({at}, i -> struct(_m[i - 1] AS print, i AS at, slice(hs, i, {span}) AS win)))"))
 
 
-def _windows(runs: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Rows (keys, print, at, win): each window of the runs, by its words."""
-    return runs.select(*keys, "print", "first", "part", F.explode(F.expr(f"sequence(1, size(part) - {span - 1})")).alias("_i")).select(*keys, "print", (F.col("first") + F.col("_i") - 1).alias("at"), F.expr(f"slice(part, _i, {span})").alias("win"))
+def _sieve(prints: DataFrame) -> Column:
+    """A bit map of the items' fingerprints, SIEVE_WORDS numbers of 64 bits. It
+    only spares rows: what it lets through is still joined."""
+    words = dict(prints.select((F.shiftright("print", 6).bitwiseAND(SIEVE_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, int(print & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+    return F.from_json(F.lit(json.dumps([words.get(i, 0) for i in range(SIEVE_WORDS)])), "array<bigint>")
 
 
 def _sized(small: DataFrame, rows: int) -> DataFrame:
@@ -60,12 +81,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int
     items = benchmark.where("n_words > 0").withColumn("span", F.least("n_words", F.lit(window)).cast("int")).distinct()
     found = None
     for (span,) in items.select("span").distinct().sort("span").collect():  # at most `window` numbers
-        own = _windows(_fingerprints(items.where(F.col("span") == span), ["item_id"], span), ["item_id"], span)
+        own = _windows(_minima(items.where(F.col("span") == span), ["item_id"], span), ["item_id"], span)
         own = own.groupBy("print", "win").agg(F.collect_set("item_id").alias("items"))
         rows = own.count()
-        prints = own.select("print").distinct()
-        hits = _fingerprints(docs, keys, span).join(_sized(prints, rows), "print")
-        hit = _windows(hits, keys, span).join(_sized(own, rows), ["print", "win"]).select(*keys, "at", F.lit(span).alias("span"), "items")
+        # Fingerprints are joined first, and each hit is extended to the whole window, word by word.
+        hits = _windows(_minima(docs, keys, span), keys, span, _sieve(own))
+        hit = hits.join(_sized(own, rows), ["print", "win"]).select(*keys, "at", F.lit(span).alias("span"), "items")
         found = hit if found is None else found.unionAll(hit)
     return found
 
