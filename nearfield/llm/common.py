@@ -50,6 +50,12 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """docs as one struct column `_doc`, so that no name of theirs clashes with
+    a working column; select("_doc.*") undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -68,3 +74,19 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value:
     base = df.groupBy(*group).agg(F.sum(value).alias("_sum")).select(*group, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.join(base, group).withColumn(out, F.sum(value).over(local) + F.col("_base")).drop("_base")
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on between
+    tasks, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -33,7 +33,7 @@ LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 4
 BROADCAST_ROWS = 200_000  # (host, path) rows; beyond it the join shuffles
 
 #: Elements that never hold a page's main text.
-NOISE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object embed svg canvas button select option datalist textarea input dialog menu audio video map math".split())
+NOISE_TAGS = frozenset("head title nav header footer aside form script style noscript template iframe object embed svg canvas button select option datalist textarea input dialog menu audio video map math".split())
 #: Words of class, id or role that mark other parts.
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar aside widget widgets related recommended recommendations trending share sharing social comment comments commentlist disqus reply replies respond discussion complementary contentinfo search searchbox toolbar legal copyright disclaimer skip".split())
 #: Elements without content, elements read as raw text, inline elements, elements that end an open p.

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import tidy, wrapped
+
 ORDER = 3
 SAMPLE_ROWS = 300  # labelled rows learned from, for each language
 LANGUAGES = 100  # at most
 LEAST_SEEN = 2  # a context gets a node if some language saw it so often
-PIECE = 1 << 20  # symbols scored at a time
+PIECE = 1 << 18  # symbols scored at a time
 LETTER = re.compile(r"[^\W\d_]")
 SPACE, OTHER, HIGH = 0, 27, 28  # symbols: 1..26 letters, 28.. bytes from 0x80 seen in training
 
@@ -87,13 +89,15 @@ class Model:
                 if len(t) > self.order:
                     for c, m in zip(*map(np.ndarray.tolist, np.unique(self._codes(t, depth + 1), return_counts=True)), strict=True):
                         seen[c] = max(seen.get(c, 0), m)
-            longer = np.array(sorted(c for c, m in seen.items() if m >= LEAST_SEEN and c // a in set(known.tolist())), np.int64)
+            parents = set(known.tolist())
+            longer = np.array(sorted(c for c, m in seen.items() if m >= LEAST_SEEN and c // a in parents), np.int64)
             table = np.repeat(np.arange(first + len(known), dtype=np.int32)[:, None], a, axis=1)
             parent = np.searchsorted(known, longer // a)
             table[first + parent, longer % a] = first + len(known) + np.arange(len(longer))
             self.tables.append(table)
             first, p, known = first + len(known), p[parent] if len(longer) else p[:0], longer
-        self.cost = (-np.log2(np.concatenate(rows))).reshape(-1, n_langs).astype(np.float32)
+        p = np.concatenate(rows)
+        self.cost = (-np.log2(p)).reshape(len(p) * a, n_langs).astype(np.float32)
 
     def _codes(self, t: np.ndarray, depth: int) -> np.ndarray:
         """A number for the `depth` symbols before each position from `order` on."""
@@ -177,6 +181,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 few = batch.slice(i, 512)
                 found = m.score(few.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(few.column(k) for k in range(len(keep))), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
+        tidy()
 
     return source.mapInArrow(run, schema)
 
@@ -188,4 +193,5 @@ def predict(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def known_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs in a learned language, with their columns."""
-    return identify(docs, train(docs, rows), docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    rows_in = wrapped(docs).select("_doc", F.col("_doc.text").alias("text"))
+    return identify(rows_in, train(docs, rows), ["_doc"]).where("lang_pred <> 'und'").select("_doc.*")

@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, running_sum
+from nearfield.llm.common import materialize, running_sum, wrapped
 
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
 ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
-SIZE = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
 def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tuple = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies
     (how many of its offers the queue takes) and taken; `keep` is carried."""
-    sized, _ = materialize(docs.select("doc_id", "source", SIZE.alias("size"), *keep), "sized")
+    sized, _ = materialize(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), *keep), "sized")
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
     known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
@@ -76,12 +76,11 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tu
 def mix_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as the queue takes it, with
     all its columns."""
-    key = ["doc_id", "_row"]
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    mixed = mix_table(marked, weights, repeats, keep=("_row",)).groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    marked = wrapped(docs).select("_doc", "_doc.doc_id", "_doc.source", "_doc.text", F.xxhash64(*(F.col(f"_doc.`{c}`") for c in docs.columns)).alias("_row"))
+    mixed = mix_table(marked, weights, repeats, keep=("_row",)).groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
     mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "_copies")
     # Equal rows share a key; the i-th of them takes the i-th count.
     nth = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
     out = marked.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
     out = out.withColumn("_n", F.element_at("_copies", F.row_number().over(nth))).where("_n > 0")
-    return out.withColumn("_again", F.explode(F.expr("sequence(1, _n)"))).select(*docs.columns)
+    return out.select("_doc", F.explode(F.expr("sequence(1, _n)"))).select("_doc.*")

@@ -26,19 +26,19 @@ extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import drop_path, materialize
+from nearfield.llm.common import drop_path, materialize, tidy, wrapped
 from nearfield.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 36, 6
 M = BANDS * ROWS
-CHUNK = 800  # members whose sets one side of a task holds
+CHUNK, CHUNK_SHINGLES = 800, 3_000_000  # members, and shingles, that one side of a task holds
 BROADCAST_ROWS = 1_000_000  # ids of cluster members that are sent to every executor; beyond it the join shuffles
+LARGE_GROUP = 8_000_000  # bytes of a task's sets after which memory is given back
 MARGIN = 0.20  # signatures' agreement may be so far below the threshold: over 6 standard deviations of M slots
 
 U = np.uint64
@@ -135,7 +135,7 @@ def short(sig: np.ndarray) -> np.ndarray:
     return (mix(sig.astype(np.uint64)) & U(255)).astype(np.uint8)
 
 
-def _batches(texts: list, limit: int = 300_000):
+def _batches(texts, limit: int = 100_000):
     """Texts' sets, a bounded number of elements at a time."""
     group, held = [], 0
     for t in texts:
@@ -154,7 +154,7 @@ def _sign(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
             at = 0
-            for sets in _batches(batch.column(1).to_pylist()):
+            for sets in _batches(x.as_py() for x in batch.column(1)):
                 full = [s for s in sets if len(s)]
                 keys = iter(bands(super_minhash(full)) if full else [])
                 yield pa.RecordBatch.from_arrays([
@@ -164,6 +164,7 @@ def _sign(batches):
                     pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ], schema=schema)
                 at += len(sets)
+    tidy()
 
 
 def _sets(batches):
@@ -172,10 +173,11 @@ def _sets(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
             at = 0
-            for sets in _batches(batch.column(4).to_pylist()):
+            for sets in _batches(x.as_py() for x in batch.column(4)):
                 sigs = short(super_minhash(sets))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(sets)) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], schema=schema)
                 at += len(sets)
+    tidy()
 
 
 def link(ids: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -217,12 +219,22 @@ def link(ids: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, side: np.ndar
 
 
 def _verify(percent: int):
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sig"]])
-        side = pdf["chunk"].to_numpy() if pdf["a"].iloc[0] != pdf["b"].iloc[0] else None
-        return pd.DataFrame(link(pdf["id"].to_numpy(), sets, sig, side, percent), columns=["a", "b"], dtype="int64")
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        rows = np.unique(ids, return_index=True)[1]
+        views = {}
+        for name, kind in (("shingles", np.uint64), ("sig", np.uint8)):
+            column = table.column(name).chunk(0)
+            edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            views[name] = [np.frombuffer(data, kind, (edge[i + 1] - edge[i]) // np.dtype(kind).itemsize, edge[i]) for i in rows]
+        side = table.column("chunk").to_numpy()[rows] if table.column("a")[0].as_py() != table.column("b")[0].as_py() else None
+        found = np.array(link(ids[rows], views["shingles"], np.stack(views["sig"]), side, percent), np.int64).reshape(-1, 2)
+        if table.nbytes > LARGE_GROUP:
+            del table, views
+            tidy()
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return verify
 
@@ -239,7 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ties = buckets.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     coarse, _ = materialize(components(ties), "clusters")
     drop_path(spark, at_buckets)
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    weighed = coarse.join(classes.select("id", "n"), F.col("node") == F.col("id"))
+    sizes = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     members = coarse.join(sizes, "root").select("root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.col("node").alias("id"))
     members = F.broadcast(members) if coarse.count() <= BROADCAST_ROWS else members
     texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("id")).select("root", "chunks", "chunk", "id", "text")
@@ -247,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = texts.mapInArrow(_sets, "root long, chunks int, chunk int, id long, shingles binary, sig binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_o")
     met = held.select("*", other).select("root", F.least("chunk", "_o").alias("a"), F.greatest("chunk", "_o").alias("b"), "chunk", "id", "shingles", "sig")
-    edges = met.groupBy("root", "a", "b").applyInPandas(_verify(percent), "a long, b long")
+    edges = met.groupBy("root", "a", "b").applyInArrow(_verify(percent), "a long, b long")
     groups = components(edges)
     known = classes.join(groups, F.col("id") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("_n"), F.coalesce("root", "id").alias("_root"))
     out = signed.select("doc_id", "n", "h1", "h2").join(known.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
@@ -259,7 +272,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept, one for each doc_id, with their columns."""
     found = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count("*").alias("_rows"))
     gone, _ = materialize(found.where("_kept = 0 OR _rows > 1").select("_id", "_kept"), "gone")
-    rest = docs.join(gone.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    keyed = wrapped(docs).select("_doc", F.col("_doc.doc_id").alias("_key"))
+    rest = keyed.join(gone.select("_id"), F.col("_key") == F.col("_id"), "left_anti")
     # Rows that repeat a kept doc_id: one of them stays.
-    again = docs.join(gone.where("_kept = 1").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(again)
+    again = keyed.join(gone.where("_kept = 1").select("_id"), F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"])
+    return rest.unionByName(again).select("_doc.*")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import running_sum
+from nearfield.llm.common import running_sum, wrapped
 
 ROUNDS = 6
 ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
@@ -77,11 +77,11 @@ def row_numbers(df: DataFrame, rows: int, order: list[str], out: str) -> DataFra
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """docs with size, text_crc32, row_no, shard and slot, under law `rows`."""
-    known = docs.withColumns({
-        "size": (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"),
-        "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")),
-    })
-    return _place(known, docs.count(), shards, seed)
+    own = ["size", "text_crc32", "row_no", "shard", "slot"]
+    known = wrapped(docs.select(*(c for c in docs.columns if c not in own))).select(
+        "_doc", "_doc.doc_id", (F.octet_length(F.coalesce("_doc.text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("_doc.text", F.lit("")).cast("binary")).alias("text_crc32")
+    )
+    return _place(known, docs.count(), shards, seed).select("_doc.*", *own)
 
 
 def _place(known: DataFrame, n: int, shards: int, seed: int) -> DataFrame:

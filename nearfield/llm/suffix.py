@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize
+from nearfield.llm.common import materialize, tidy
 
 LENGTH, GRAM, PIECE = 200, 64, 8
 BLOCK = 1 << 19  # windows handled at a time
@@ -149,6 +149,7 @@ def _anchors(length: int):
                 for at in range(0, batch.num_rows, 1000):
                     h = runs(_bytes(batch.column(0).slice(at, 1000)), length)[4]
                     yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64))], names=["h"])
+        tidy()
 
     return run
 
@@ -164,6 +165,7 @@ def _runs(length: int):
                     text, start, count, offset, h, ctx = runs(_bytes(few.column(2)), length)
                     rows = pa.array(text)
                     yield pa.RecordBatch.from_arrays([few.column(0).cast(pa.int64()).take(rows), few.column(1).take(rows), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64)), pa.array(_pack(start, count, offset))], names=names)
+        tidy()
 
     return run
 
@@ -219,6 +221,7 @@ def _pieces(length: int, size: int):
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     yield cut(batch.slice(at, 2000))
+        tidy()
 
     return run
 

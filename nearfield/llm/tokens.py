@@ -26,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, new_path
+from nearfield.llm.common import materialize, new_path, tidy
 
-SHARD_TOKENS, CACHED_PIECES, SLICE_BYTES, END_ID = 8_000_000, 600_000, 24_000_000, 2
+SHARD_TOKENS, END_ID = 8_000_000, 2
+CACHED_PIECES, KEPT_PIECES = 400_000, 150_000  # in a task, and from task to task of a Python worker
+SLICE_BYTES = 12_000_000  # of text encoded at a time
 _loaded: dict[str, tuple] = {}
 
 
@@ -60,7 +62,7 @@ class _Table(dict):
 
 class Encoder:
     """Whole texts -> ids, through a bounded table of pieces. When it is full,
-    the half that was used most stays."""
+    the half used most stays."""
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         from tokenizers import Tokenizer
@@ -116,9 +118,12 @@ class Encoder:
         self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
         self.ids = np.concatenate([self.ids, flat])
 
-    def _forget(self) -> None:
+    def trim(self, most: int) -> None:
+        """Forget all but the pieces used most."""
+        if len(self.table) <= most:
+            return
         names = list(self.table)
-        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.cached // 2])
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:most])
         begin, n = self.begin[keep], self.length[keep]
         self.ids = self.ids[_spread(begin, n)]
         self.begin, self.length, self.uses = np.cumsum(n) - n, n, self.uses[keep] // 2
@@ -129,7 +134,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none) in a row, and where each text's end."""
         if len(self.table) > self.cached:
-            self._forget()
+            self.trim(self.cached // 2)
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         pieces = split.flatten().dictionary_encode()
         each = np.fromiter(map(self.table.__getitem__, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
@@ -196,6 +201,8 @@ def _writer(tokenizer_path: str, folder: str, shard_tokens: int, end_id: int):
                         yield flush()
         if docs:
             yield flush()
+        enc.trim(KEPT_PIECES)
+        tidy()
 
     return write
 
@@ -223,6 +230,7 @@ def _reader(batches):
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([path.as_py().rsplit("/", 1)[-1]] * len(starts)), pa.array(shard.doc_ids, pa.int64()), pa.array(starts), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], schema=schema)
+    tidy()
 
 
 def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
