@@ -18,7 +18,6 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,10 @@ def _spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()  # much quicker than to_pylist()
+
+
 class _Table(dict):
     """Pieces -> numbers; a new piece gets the next one and waits in `new`."""
 
@@ -81,7 +84,7 @@ class Encoder:
         """All ids of the pieces in a row, and how many each has."""
         # Pieces of letters are one word each: they are encoded together and told apart by word ends.
         chosen = np.flatnonzero(pc.match_substring_regex(pieces, WORD).to_numpy(zero_copy_only=False))
-        plain = pieces.take(pa.array(chosen)).to_pylist()
+        plain = _strings(pieces.take(pa.array(chosen)))
         joined = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)], add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, self.kind) for e in joined] or [np.zeros(0, self.kind)])
         last = np.flatnonzero(self.ends[ids])
@@ -90,7 +93,7 @@ class Encoder:
         counts = np.zeros(len(pieces), np.int64)
         counts[chosen] = np.diff(np.concatenate([[-1], last]))
         others = np.setdiff1d(np.arange(len(pieces)), chosen, assume_unique=True)
-        alone = [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(others)).to_pylist(), add_special_tokens=False)]
+        alone = [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(_strings(pieces.take(pa.array(others))), add_special_tokens=False)]
         counts[others] = [len(a) for a in alone]
         begin = np.cumsum(counts) - counts
         out = np.zeros(int(counts.sum()), self.kind)
@@ -137,7 +140,7 @@ class Encoder:
             self.trim(self.cached // 2)
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         pieces = split.flatten().dictionary_encode()
-        each = np.fromiter(map(self.table.__getitem__, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        each = np.fromiter(map(self.table.__getitem__, _strings(pieces.dictionary)), np.int64, len(pieces.dictionary))
         if self.table.new:
             self._learn()
         which = each[pieces.indices.to_numpy()]
