@@ -8,10 +8,8 @@ and blocks of matrix products beyond that.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +82,6 @@ def _blocks(d: DataFrame, asked: DataFrame, k: int, metric: str, id: str, vec: s
             order = np.lexsort((ids[few], again))[:k]
             rows.append((np.full(len(order), qids[i]), ids[few][order], again[order]))
         a, b, c = (np.concatenate(z) for z in zip(*rows, strict=True))
-        import pandas as pd
-
         return pd.DataFrame({qid: a, id: b, "d": c})
 
     return left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInPandas(meet, f"{qid} {kinds[qid]}, {id} {kinds[id]}, d double")
