@@ -91,6 +91,37 @@ def plan_nodes(df: DataFrame) -> list[str]:
     return re.findall(r"[-+* |:]*\b([A-Z]\w+)\b.*", df._jdf.queryExecution().executedPlan().toString())
 
 
+def compare_runs(runs: dict[str, DataFrame], truth: DataFrame, k: int) -> DataFrame:
+    """(qid, <name>, ...): the recall of each named run, side by side."""
+    out = truth.select("qid").distinct()
+    for name, found in runs.items():
+        out = out.join(recall(found, truth, k).select("qid", F.col("recall").alias(name)), "qid", "left")
+    return out
+
+
+def rows_read(df: DataFrame) -> dict[str, int]:
+    """Rows, files and bytes that the scans of df read, by running it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    out = {"rows": 0, "files": 0, "bytes": 0}
+    df.collect()
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        if name.startswith("Scan "):
+            for key, metric in (("rows", "numOutputRows"), ("files", "numFiles"), ("bytes", "filesSize")):
+                if (found := node.metrics().get(metric)).isDefined():
+                    out[key] += found.get().value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 def sweep(run, efs: Iterable[int], truth: DataFrame, k: int) -> list[tuple[int, float]]:
     """(ef, mean recall) of run(ef), a (qid, id) table, for each ef."""
     return [(ef, recall_summary(recall(run(ef), truth, k)).first()[0]) for ef in efs]

@@ -119,6 +119,24 @@ class GraphIndex:
                 return self.exact(q, k, where, passing, keys)
         return found
 
+    def view(self, name: str, q, k: int | None = 10, **search) -> None:
+        """The search as a temporary view (row_id, d), to be joined in SQL."""
+        self.search(q, k, **search).createOrReplaceTempView(name)
+
+    def reachability(self) -> DataFrame:
+        """(shard, nodes, unreached, lost): nodes that layer 0 doesn't reach from
+        the entry, and sampled nodes that a search for their own vector misses."""
+        o = self.options
+
+        def probe(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            g = _unpack(pdf, o, 0)
+            passes = np.ones(g._n, bool)
+            some = range(0, g._n, max(1, g._n // 50))
+            lost = sum(g.ids[i] not in {r for _, r in g.search(g.vec[i], passes, max(100, o.ef_construction), 10)[0]} for i in some if not g.deleted[i])
+            return pd.DataFrame({"shard": [int(key[0])], "nodes": [g._n], "unreached": [g.unreached()], "lost": [lost]})
+
+        return self.nodes.groupBy("shard").applyInPandas(probe, "shard int, nodes long, unreached long, lost long")
+
     def _filter(self, where: Column | None, keys: list[tuple[str, int]] | None) -> Column:
         from nearfield.functions.predicates import conjunction
 

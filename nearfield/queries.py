@@ -490,6 +490,28 @@ def rerank_top50_recall(spark, sf_dir):
     return evaluate.rerank_recall(fetched, truth, K)
 
 
+@query(f"""WITH {BATCH}, {_TRUTH}, f AS ({' UNION ALL '.join(f'({_post_sql(m)})' for m in (2, 5, 10))}), h AS (SELECT truth.qid, f.m, count(f.id) / 10.0 AS r FROM truth LEFT JOIN f ON truth.qid = f.qid AND truth.id = f.id GROUP BY truth.qid, f.m)
+    SELECT qid, coalesce(max(r) FILTER (m = 2), 0.0) AS m2, coalesce(max(r) FILTER (m = 5), 0.0) AS m5, coalesce(max(r) FILTER (m = 10), 0.0) AS m10 FROM h GROUP BY qid""")
+def three_way_comparison(spark, sf_dir):
+    df = items(spark, sf_dir)
+    truth = exact.knn_batch(df, batch(df), K, F.col("fine") < 20, strategy="loop")
+    return evaluate.compare_runs({f"m{m}": _post_found(df, m) for m in (2, 5, 10)}, truth, K)
+
+
+@query("SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS unreached FROM embeddings")
+def graph_reachability(spark, sf_dir):
+    found = _build(spark, sf_dir, shard_rows=200, gamma=2).reachability()
+    return found.agg(F.sum("nodes").alias("nodes"), F.sum("unreached").alias("unreached"))
+
+
+@query(ORACLE["knn_l2_filtered"])
+def graph_view_in_sql(spark, sf_dir):
+    name = f"v{uuid.uuid4().hex}"
+    items(spark, sf_dir).createOrReplaceTempView(f"items_{name}")
+    _build(spark, sf_dir).view(name, query_vector(spark, sf_dir), K, keys=[("<", 3)], ef_search=10_000_000)
+    return spark.sql(f"SELECT i.id, round(v.d, 6) + 0.0 AS d FROM {name} v JOIN items_{name} i ON i.id = v.row_id")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten rows of bucket < 3 nearest to row 0."""
     return QUERIES["knn_l2_filtered"](spark, sf_dir)

@@ -294,3 +294,31 @@ def test_dictionary_and_evaluation(spark):
     assert evaluate.sweep(lambda ef: found.where(F.col("rank") <= ef), [1, 2], found, 2) == [(1, 0.5), (2, 0.75)]
     assert [n for n, _ in evaluate.throughput(lambda: None, [1, 2], 0.05)] == [1, 2]
     assert {r.qid for r in evaluate.same_result(found, found).where("same").collect()} == {1, 2}
+
+
+def test_reads_while_another_inserts(spark, table, folder, q):
+    import threading
+
+    index = GraphIndex.build(table.where("id <= 400"), folder, IndexOptions(build_seed=1))
+    want = truth([r for r in fixture() if r[0] <= 400], q, 10, lambda b: b < 3)
+    seen = []
+
+    def read():
+        for _ in range(3):
+            seen.append([r.row_id for r in index.search(q, 10, keys=[("<", 3)], ef_search=100_000, use_cache=False).collect()])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    newer = index.insert(table.where("id > 400"))
+    reader.join()
+    assert seen == [want] * 3
+    assert [r.row_id for r in newer.search(q, 10, keys=[("<", 3)], ef_search=100_000).collect()] == truth(fixture(), q, 10, lambda b: b < 3)
+    lost = newer.reachability().collect()
+    assert sum(r.nodes for r in lost) == 600 and all(r.unreached == 0 and r.lost == 0 for r in lost)
+
+
+def test_rows_read(spark, table, tmp_path):
+    table.repartition(2).write.parquet(f"{tmp_path}/t")
+    found = evaluate.rows_read(spark.read.parquet(f"{tmp_path}/t").where("id < 0").select("id"))
+    assert found["files"] >= 1 and found["rows"] <= 600
+    assert evaluate.rows_read(spark.read.parquet(f"{tmp_path}/t").groupBy("bucket").count())["rows"] == 600
