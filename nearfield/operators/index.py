@@ -20,6 +20,7 @@ from nearfield.plans import stats
 from nearfield.plans.options import IndexOptions, SearchOptions
 from nearfield.sources.store import Store
 
+QUERY_BATCH = 10_000
 NODES = "shard int, node int, row_id long, level int, deleted boolean, filter_val long, vec array<double>, links array<array<int>>, extra array<int>, entry boolean"
 
 
@@ -89,7 +90,7 @@ class GraphIndex:
         shards = max(1, -(-n // o.shard_rows))
         gated = [r.part for r in stats.partition_counts(rows, "filter_val").where(F.col("n") < o.payload_min_cardinality).collect()] if o.payload_min_cardinality else []
 
-        def build_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             g = ShardGraph(o, dim, _seed(o, int(key[0])))
             pdf = pdf.sort_values("row_id", kind="stable")
             g.add(pdf["row_id"], [None if pd.isna(f) else int(f) for f in pdf["filter_val"]], pdf["vec"].tolist(), set(gated))
@@ -128,7 +129,7 @@ class GraphIndex:
         the entry, and sampled nodes that a search for their own vector misses."""
         o = self.options
 
-        def probe(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def probe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             g = _unpack(pdf, o, 0)
             passes = np.ones(g._n, bool)
             some = range(0, g._n, max(1, g._n // 50))
@@ -150,14 +151,26 @@ class GraphIndex:
         return exact.knn(live, q, k, metric=self.options.metric, id="row_id", vec="vec")
 
     def search_batch(self, queries: DataFrame, k: int | None = 10, where: Column | None = None, passing: DataFrame | None = None, keys: list[tuple[str, int]] | None = None, **options) -> DataFrame:
-        """qid, row_id, d, rank for each row (qid, q) of queries, which every
-        shard gets; their number must be that of a batch, not of a table."""
+        """qid, row_id, d, rank for each row (qid, q) of queries. Every shard gets
+        up to QUERY_BATCH of them at a time; more go in several rounds."""
+        rounds = -(-queries.count() // QUERY_BATCH)
+        if rounds > 1:
+            # Twice the rounds keep each, dealt out by hash, below the limit.
+            dealt = queries.withColumn("_round", F.pmod(F.xxhash64("qid"), F.lit(2 * rounds)))
+            parts = [self._search_some(dealt.where(F.col("_round") == i).drop("_round"), k, where, passing, keys, **options) for i in range(2 * rounds)]
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
+        return self._search_some(queries, k, where, passing, keys, **options)
+
+    def _search_some(self, queries: DataFrame, k: int | None, where: Column | None, passing: DataFrame | None, keys: list[tuple[str, int]] | None, **options) -> DataFrame:
         s = SearchOptions.of(self.spark, **options)
         if self.manifest["dim"] is None:
             return self.spark.createDataFrame([], "qid long, row_id long, d double, rank int")
         ef = stats.budget(s.ef_search, s.target_recall, self.stats, keys or [])
         o, codes = self.options, s.use_codes or self.options.inline_codes
-        asked = [(int(r.qid), list(r.q)) for r in queries.where("q IS NOT NULL").select("qid", "q").limit(100_000).collect()]
+        asked = [(int(r.qid), list(r.q)) for r in queries.where("q IS NOT NULL").select("qid", "q").collect()]
         for _, q in asked:
             if len(q) != self.manifest["dim"]:
                 raise ValueError(f"different vector dimensions {self.manifest['dim']} and {len(q)}")
@@ -168,7 +181,7 @@ class GraphIndex:
             nodes = nodes.join(ok, "row_id", "left").withColumn("passes", F.col("passes") & F.coalesce("_ok", F.lit(False))).drop("_ok")
         shared, counters = self.spark.sparkContext.broadcast(asked), telemetry.counters(self.spark)
 
-        def search_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def search_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("node")
             g, passes, rows = _unpack(pdf, o, 0), pdf["passes"].to_numpy(bool), []
             for qid, q in shared.value:
@@ -208,10 +221,12 @@ class GraphIndex:
         n, least, most = rows.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
         if n and (least != dim or most != dim):
             raise ValueError(f"different vector dimensions {dim} and {most if most != dim else least}")
+        if self.manifest["rows"] + n > 2 * self.manifest["shards"] * o.shard_rows:  # shards would outgrow their bound: deal out anew
+            return GraphIndex.build(self._live().unionByName(rows.select(F.col("row_id").alias("id"), F.col("vec").alias("embedding"), F.col("filter_val").alias("bucket"))), self.store.path, o)
         new = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.manifest["shards"])).cast("int"))
         gated, version = set(self.manifest["gated"]), self.version
 
-        def merge(key, old: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        def merge(key: tuple, old: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
             shard = int(key[0])
             seed = _seed(o, shard, version)
             g = _unpack(old, o, seed) if len(old) else ShardGraph(o, dim, seed)
@@ -237,10 +252,12 @@ class GraphIndex:
     def update(self, df: DataFrame, id: str = "id", vec: str = "embedding", filter: str | None = "bucket") -> GraphIndex:
         return self.delete(df, id).insert(df, id, vec, filter)
 
+    def _live(self) -> DataFrame:
+        return self.nodes.where("NOT deleted").select(F.col("row_id").alias("id"), F.col("vec").alias("embedding"), F.col("filter_val").alias("bucket"))
+
     def compact(self) -> GraphIndex:
         """Build anew without the deleted nodes."""
-        live = self.nodes.where("NOT deleted").select(F.col("row_id").alias("id"), F.col("vec").alias("embedding"), F.col("filter_val").alias("bucket"))
-        return GraphIndex.build(live, self.store.path, self.options)
+        return GraphIndex.build(self._live(), self.store.path, self.options)
 
     def drop(self) -> None:
         cache.invalidate(self.name)

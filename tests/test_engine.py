@@ -322,3 +322,14 @@ def test_rows_read(spark, table, tmp_path):
     found = evaluate.rows_read(spark.read.parquet(f"{tmp_path}/t").where("id < 0").select("id"))
     assert found["files"] >= 1 and found["rows"] <= 600
     assert evaluate.rows_read(spark.read.parquet(f"{tmp_path}/t").groupBy("bucket").count())["rows"] == 600
+
+
+def test_many_queries_and_growth(spark, table, folder, monkeypatch):
+    monkeypatch.setattr("nearfield.operators.index.QUERY_BATCH", 10)
+    index = GraphIndex.build(table.where("id <= 100"), folder, IndexOptions(build_seed=1, shard_rows=100))
+    queries = table.where("id <= 35").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    found = index.search_batch(queries, 1, ef_search=10_000).collect()
+    assert sorted((r.qid, r.row_id) for r in found) == [(i, i) for i in range(1, 36)]
+    grown = index.insert(table.where("id > 100"))
+    assert grown.manifest["shards"] == 6 and grown.nodes.count() == 600
+    assert grown.nodes.groupBy("shard").count().agg(F.max("count")).first()[0] < 200
