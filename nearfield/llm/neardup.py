@@ -274,6 +274,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone, _ = materialize(found.where("_kept = 0 OR _rows > 1").select("_id", "_kept"), "gone")
     keyed = wrapped(docs).select("_doc", F.col("_doc.doc_id").alias("_key"))
     rest = keyed.join(gone.select("_id"), F.col("_key") == F.col("_id"), "left_anti")
-    # Rows that repeat a kept doc_id: one of them stays.
-    again = keyed.join(gone.where("_kept = 1").select("_id"), F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"])
-    return rest.unionByName(again).select("_doc.*")
+    # Of rows that repeat a kept doc_id, the one of the least text hash stays, the same in each run.
+    again = keyed.join(gone.where("_kept = 1").select("_id"), F.col("_key") == F.col("_id"), "left_semi")
+    one = again.groupBy("_key").agg(F.min_by("_doc", F.xxhash64("_doc.text")).alias("_doc"))
+    return rest.select("_doc").unionByName(one.select("_doc")).select("_doc.*")
