@@ -161,7 +161,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang").distinct().limit(rows * LANGUAGES)
     samples: dict[str, list[str]] = {}
-    for lang, text in labelled.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text").sort("lang", "text").limit(rows * LANGUAGES).collect():
+    # ids holds rows * LANGUAGES rows at most, so it can be sent to every executor.
+    for lang, text in labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text").sort("lang", "text").limit(rows * LANGUAGES).collect():
         samples.setdefault(lang, []).append(text)
     return Model(samples)
 
