@@ -20,7 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, wrapped
+from nearfield.llm.common import ascii_lower, materialize, wrapped
 
 WINDOW, GRAM = 13, 7
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,4 +116,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
     bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    bad, _ = materialize(bad, "contaminated")  # its size is known then: while it is small, the texts aren't shuffled
     return wrapped(docs).join(bad, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_th")), "left_anti").select("_doc.*")
