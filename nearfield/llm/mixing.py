@@ -76,11 +76,12 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tu
 def mix_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as the queue takes it, with
     all its columns."""
+    # A key without nulls: the join and the window then share one partitioning.
+    key = ["_row", "_id", "_null"]
+    keyed = lambda df: df.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
     marked = wrapped(docs).select("_doc", "_doc.doc_id", "_doc.source", "_doc.text", F.xxhash64(*(F.col(f"_doc.`{c}`") for c in docs.columns)).alias("_row"))
-    mixed = mix_table(marked, weights, repeats, keep=("_row",)).groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "_copies")
+    mixed = keyed(mix_table(marked, weights, repeats, keep=("_row",))).groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
     # Equal rows share a key; the i-th of them takes the i-th count.
-    nth = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    out = marked.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
-    out = out.withColumn("_n", F.element_at("_copies", F.row_number().over(nth))).where("_n > 0")
+    nth = Window.partitionBy(*key).orderBy(F.lit(1))
+    out = keyed(marked).select("_doc", *key).join(mixed, key).withColumn("_n", F.element_at("_copies", F.row_number().over(nth))).where("_n > 0")
     return out.select("_doc", F.explode(F.expr("sequence(1, _n)"))).select("_doc.*")
