@@ -64,7 +64,8 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tu
     finish = [F.when(F.col("target") > 0, (F.lit(r) * F.col("source_size") + F.col("_upto")) / F.col("target")) for r in range(repeats)]
     # All offers on one time line, cut into ranges of the finish time. Those that end together are taken together.
     each = d.select("size", F.explode(F.array(*finish)).alias("_finish")).where("_finish IS NOT NULL")
-    each = each.withColumn("_range", F.least(F.floor(F.col("_finish") * buckets), F.lit(4 * buckets)))
+    # Ranges are narrow around 1, where the cut is, and grow wider without end beyond.
+    each = each.withColumn("_range", F.floor(F.col("_finish") / (1 + F.col("_finish")) * (4 * buckets)))
     sums = each.groupBy("_range").agg(F.sum("size").alias("_sum"))
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     line = each.join(base, "_range").withColumn("_queue", F.col("_base") + F.sum("size").over(Window.partitionBy("_range").orderBy("_finish").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
