@@ -253,6 +253,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("length must be from 2 to 4095")
     long = docs.where(F.octet_length("text") >= length)
     again = long.select("text").mapInArrow(_anchors(length), "h long").groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    again = _settle(again, "anchors")  # a join of two plain shuffles: a hot anchor's rows can be split
     found = long.select("doc_id", "th", "text").mapInArrow(_runs(length), "doc_id long, th long, h long, ctx long, place long")
     found = _settle(found.join(again, "h"), "runs")
     level = _resolve(found.withColumn("id", F.xxhash64("doc_id", "th", "place")), "level0")
