@@ -1,7 +1,8 @@
 """Main text of web pages by site style trees.
 
 Pages are parsed into blocks, each named by the path of its open elements (tag
-and class). The pages of a host are merged: for each (host, path) the pages that
+and class). The pages of a host are merged, copies of a page (the same blocks in
+the same order, noise aside) counted once: for each (host, path) the pages that
 have it and the different contents it shows are counted. A branch's importance
 is the entropy of its contents over those pages, divided by the logarithm of
 their number: 1 if every page shows its own, 0 if all show the same. Branches
@@ -137,20 +138,31 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def _shown(batches):
-    """Rows (host, html) -> (host, path, content) of each different block of a page."""
+    """Rows (host, html) -> (host, page, path, contents) of each path of a page;
+    page: a hash of the blocks that are no noise, by which copies are known."""
     for pdf in batches:
-        rows = [(host, path, content) for host, page in zip(pdf["host"], pdf["html"], strict=True) for path, content in {(b[0], xxhash.xxh64_intdigest(b[1]) - (1 << 63)) for b in blocks(page or "")}]
-        yield pd.DataFrame(rows, columns=["host", "path", "content"]).astype({"content": "int64"})
+        rows = []
+        for host, page in zip(pdf["host"], pdf["html"], strict=True):
+            whole, shown = xxhash.xxh3_64(), {}
+            for path, text, noise, _ in blocks(page or ""):
+                if not noise:
+                    whole.update(f"{path}\0{text}\0".encode("utf-8", "surrogatepass"))
+                    shown.setdefault(path, set()).add(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+            name = whole.intdigest() - (1 << 63)
+            rows += [(host, name, path, sorted(contents)) for path, contents in shown.items()]
+        yield pd.DataFrame(rows, columns=["host", "page", "path", "contents"]).astype({"page": "int64"})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages, importance: the merged pages (host, html) of every
-    host. Only hashes of the contents are shuffled, counted before and after."""
-    shown = pages.select("host", "html").mapInPandas(_shown, "host string, path string, content long")
-    counts = shown.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
-    tree = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("_s"))
+    host, copies of a page counted once. Only hashes of the contents are
+    shuffled, counted before and after."""
+    shown = pages.select("host", "html").mapInPandas(_shown, "host string, page long, path string, contents array<long>").distinct()
+    each = shown.select("host", "path", F.posexplode("contents").alias("_at", "content"))
+    counts = each.groupBy("host", "path", "content").agg(F.count("*").alias("n"), F.count_if(F.col("_at") == 0).alias("_first"))
+    tree = counts.groupBy("host", "path").agg(F.sum("_first").alias("pages"), F.sum("n").alias("_m"), F.sum(F.col("n") * F.log("n")).alias("_s"))
     # Entropy of n_i / m over log m = 1 - sum(n_i log n_i) / (m log m).
-    return tree.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("_s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias("importance"))
+    return tree.select("host", "path", "pages", F.when(F.col("_m") > 1, 1 - F.col("_s") / (F.col("_m") * F.log("_m"))).otherwise(1.0).alias("importance"))
 
 
 def main_text(page: str | None, low: set[str]) -> str:

@@ -44,3 +44,16 @@ def test_empty_and_long(spark):
     (r,) = extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).collect()
     assert r.text == " ".join(["word x"] * 50_000)
     assert blocks("<div>" * 3000 + "deep")[-1][1] == "deep"
+
+
+def test_copies_of_a_page_count_once(spark):
+    """Copies don't make a page's own text look like boilerplate, nor that of others by the same path."""
+    body = "".join(f"<p>paragraph {i} of the copied page</p>" for i in range(5))
+    rows = [(i, f"http://h.net/{i}", f"<script>track({i})</script><nav>menu {i}</nav><div>{body}</div>") for i in range(20)] + [(50, "http://h.net/50", "<div><p>a page of its own</p></div>")]
+    rows += [(100 + i, f"http://one.net/{i}", "<p>one block</p>") for i in range(4)]
+    # Three pages that share two blocks are fewer than LEAST_PAGES.
+    rows += [(200 + i, f"http://few.net/{i}", f"<p>both</p><p>shared</p><h2>head {i}</h2>") for i in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(20)} == {" ".join(f"paragraph {i} of the copied page" for i in range(5))}
+    assert got[50] == "a page of its own" and {got[100 + i] for i in range(4)} == {"one block"}
+    assert [got[200 + i] for i in range(3)] == [f"both shared head {i}" for i in range(3)]
