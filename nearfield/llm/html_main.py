@@ -8,9 +8,9 @@ is the entropy of its contents over those pages, divided by the logarithm of
 their number: 1 if every page shows its own, 0 if all show the same. Branches
 whose presentation says that they are no content (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, comments, hidden parts) go. Branches
-below LEAST_IMPORTANCE that at least LEAST_PAGES pages show go, but for those in
-an article or main element, which copies of a page may repeat in full; if a page
-has such an element, only that counts.
+below LEAST_IMPORTANCE that at least LEAST_PAGES pages show go. An article or
+main element is evidence for what is in it: there a branch goes only below
+LEAST_IN_ARTICLE, that is if nearly all pages show the same.
 
 Defined cases: null or empty html gives the empty text; a null url, or one
 without a host, is a host of its own name (the empty one); repeated pages each
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import materialize
 
-LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 4
+LEAST_IMPORTANCE, LEAST_IN_ARTICLE, LEAST_PAGES = 0.4, 0.1, 4
 BROADCAST_ROWS = 200_000  # (host, path) rows; beyond it the join shuffles
 
 #: Elements that never hold a page's main text.
@@ -165,27 +165,27 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return tree.select("host", "path", "pages", F.when(F.col("_m") > 1, 1 - F.col("_s") / (F.col("_m") * F.log("_m"))).otherwise(1.0).alias("importance"))
 
 
-def main_text(page: str | None, low: set[str]) -> str:
-    """The page's main text; low: paths that are of little importance on its host."""
-    found = [b for b in blocks(page or "") if not b[2]]
-    main = any(b[3] for b in found)
-    return " ".join(b[1] for b in found if (b[3] if main else b[0] not in low))
+def main_text(page: str | None, low: set[str], lowest: set[str]) -> str:
+    """The page's main text; low, lowest: paths that are of too little importance
+    on its host outside, and inside, an article or main element."""
+    return " ".join(b[1] for b in blocks(page or "") if not b[2] and b[0] not in (lowest if b[3] else low))
 
 
 def _texts(batches):
     for pdf in batches:
-        text = [main_text(page, set(low) if low is not None else set()) for page, low in zip(pdf["html"], pdf["_low"], strict=True)]
+        text = [main_text(page, *(set(paths) if paths is not None else set() for paths in both)) for page, *both in zip(pdf["html"], pdf["_low"], pdf["_lowest"], strict=True)]
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
 
 
-def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, least_in_article: float = LEAST_IN_ARTICLE) -> DataFrame:
     """page_id, url, text, n_chars per page. Pages are parsed twice, for the
     tree and for the texts; their texts are never shuffled while the paths to
     remove are few enough to be sent to every executor."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
     page = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    low, _ = materialize(style_tree(page).where((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path"), "low")
-    by_host = low.groupBy("host").agg(F.collect_list("path").alias("_low"))
+    outside, inside = F.col("importance") < least, F.col("importance") < least_in_article
+    low, _ = materialize(style_tree(page).where((F.col("pages") >= least_pages) & (outside | inside)).select("host", "path", outside.alias("outside"), inside.alias("inside")), "low")
+    by_host = low.groupBy("host").agg(F.collect_list(F.when(F.col("outside"), F.col("path"))).alias("_low"), F.collect_list(F.when(F.col("inside"), F.col("path"))).alias("_lowest"))
     by_host = F.broadcast(by_host) if low.count() <= BROADCAST_ROWS else by_host
-    out = page.join(by_host, "host", "left").select("page_id", "url", "html", "_low").mapInPandas(_texts, "page_id string, url string, text string")
+    out = page.join(by_host, "host", "left").select("page_id", "url", "html", "_low", "_lowest").mapInPandas(_texts, "page_id string, url string, text string")
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -57,3 +57,16 @@ def test_copies_of_a_page_count_once(spark):
     assert {got[i] for i in range(20)} == {" ".join(f"paragraph {i} of the copied page" for i in range(5))}
     assert got[50] == "a page of its own" and {got[100 + i] for i in range(4)} == {"one block"}
     assert [got[200 + i] for i in range(3)] == [f"both shared head {i}" for i in range(3)]
+
+
+def test_importance_judges_inside_and_outside_an_article(spark):
+    """Teaser cards don't hide the body beside them; a notice that an article repeats goes, the text around it stays."""
+    rows = [(i, f"http://h.net/{i}", f"<article><p>teaser {i}</p></article><div class=b><p>body {i}</p></div><div class=k><p>Welcome to h</p></div>") for i in range(20)]
+    rows += [(100 + i, f"http://n.net/{i}", f"<article><h1>head {i}</h1><p>story {i}</p><div class=k><p>This site is made by n</p></div></article>") for i in range(20)]
+    # Pages that share most paragraphs of their articles keep them.
+    shared = "".join(f"<p>shared paragraph {j}</p>" for j in range(5))
+    rows += [(200 + i, f"http://s.net/{i}", f"<article><p>paragraph of {i}</p>{shared}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"teaser {i} body {i}" and got[100 + i] == f"head {i} story {i}"
+        assert got[200 + i] == " ".join([f"paragraph of {i}", *(f"shared paragraph {j}" for j in range(5))])
