@@ -7,7 +7,8 @@ have it and the different contents it shows are counted. A branch's importance
 is the entropy of its contents over those pages, divided by the logarithm of
 their number: 1 if every page shows its own, 0 if all show the same. Branches
 whose presentation says that they are no content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments, hidden parts) go. Branches
+sidebars, notices, adverts, forms, scripts, comments, hidden parts) go, unless a
+name that only partly says so, or a form, holds most of the page. Branches
 below LEAST_IMPORTANCE that at least LEAST_PAGES pages show go. An article or
 main element is evidence for what is in it: there a branch goes only below
 LEAST_IN_ARTICLE, that is if nearly all pages show the same.
@@ -37,6 +38,11 @@ BROADCAST_ROWS = 200_000  # (host, path) rows; beyond it the join shuffles
 NOISE_TAGS = frozenset("head title nav header footer aside form script style noscript template iframe object embed svg canvas button select option datalist textarea input dialog menu audio video map math".split())
 #: Words of class, id or role that mark other parts.
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar aside widget widgets related recommended recommendations trending share sharing social comment comments commentlist disqus reply replies respond discussion complementary contentinfo search searchbox toolbar legal copyright disclaimer skip".split())
+#: Of them, those of parts that are often longer than the text; and words of names that tell what a page has ("no-sidebar").
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+STATE_WORDS = frozenset("has no not with without open closed".split())
+#: How an element is marked: by a form or a name that is partly of noise words, by one that is so as a whole or names comments, by its tag or hidden.
+PARTLY, NAMED, COMMENTS, ALWAYS = 1, 2, 3, 4
 #: Elements without content, elements read as raw text, inline elements, elements that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -49,29 +55,67 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 WORD = re.compile(r"[a-z]+")
 
 
-def _noise(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
+def _named(attrs: dict[str, str]) -> int:
+    mark = 0
+    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().split():
+        words = WORD.findall(name)
+        noise = [w in NOISE_WORDS for w in words]
+        if any(noise) and STATE_WORDS.isdisjoint(words):
+            mark = max(mark, COMMENTS if not COMMENT_WORDS.isdisjoint(words) else NAMED if all(noise) else PARTLY)
+    return mark
+
+
+def _mark(tag: str, attrs: dict[str, str]) -> int:
+    if tag in NOISE_TAGS and tag != "form" or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+        return ALWAYS
     if tag in ("article", "main", "body", "html"):
-        return False
-    named = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-    return bool(named) and any(w in NOISE_WORDS for w in WORD.findall(named))
+        return 0
+    return max(_named(attrs), PARTLY if tag == "form" else 0)
+
+
+def _noise(marked: list[list[int]], found: list[tuple[str, str, int, bool]]) -> list[bool]:
+    """Whether each marked element (the marked one around it or -1, mark, articles
+    in it, has a main) is noise. One marked PARTLY isn't if it holds more than half
+    of the page's text; or, with a main or a single article (several may be cards),
+    of the text in article and main elements. One marked NAMED counts so if it has
+    a main or a single article, one marked COMMENTS if it has a main."""
+    for up, _, article, main in reversed(marked):  # what is inside comes later
+        if up >= 0:
+            marked[up][2] += article
+            marked[up][3] |= main
+    always: list[bool] = []
+    for up, mark, article, main in marked:
+        always.append(up >= 0 and always[up] or mark == ALWAYS or mark == NAMED and article != 1 and not main or mark == COMMENTS and not main)
+    held, total = [[0, 0] for _ in marked], [0, 0]
+    for _, text, at, article in found:
+        if at < 0 or not always[at]:
+            for h in (total, held[at]) if at >= 0 else (total,):
+                h[0] += len(text)
+                h[1] += len(text) if article else 0
+    for i in range(len(marked) - 1, -1, -1):
+        if marked[i][0] >= 0:
+            held[marked[i][0]][0] += held[i][0]
+            held[marked[i][0]][1] += held[i][1]
+    noise: list[bool] = []
+    for i, m in enumerate(marked):
+        noise.append(always[i] or m[0] >= 0 and noise[m[0]] or not (2 * held[i][0] > total[0] or (m[2] == 1 or m[3]) and 2 * held[i][1] > total[1]))
+    return noise
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     """(path, text, noise, in article) of every block with text, in page order."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, article
+    out: list[tuple[str, str, int, bool]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, the marked element it is in, article
+    marked: list[list[int]] = []
     parts: list[str] = []
-    top = ("", "", False, False)
+    top = ("", "", -1, False)
 
     def flush():
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
             holder = next((e for e in reversed(stack) if e[0] not in INLINE), top)
-            noise = stack[-1][2] if stack else False
-            out.append((holder[1], text, noise, holder[3]))
+            out.append((holder[1], text, stack[-1][2] if stack else -1, holder[3]))
 
     def close(to: int):
         del stack[to:]
@@ -106,15 +150,14 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if inline and any(e[2] for e in stack[i:]):
+                    if inline and stack[-1][2] != (stack[i - 1][2] if i else -1):  # a marked one ends
                         flush()
                     close(i)
                     break
             continue
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        _, path, noise, article = stack[-1] if stack else top
-        own_noise = _noise(tag, attrs)
-        if not inline or own_noise:
+        own = _mark(tag, attrs)
+        if not inline or own:
             flush()
         if tag in VOID:
             continue
@@ -126,15 +169,25 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                     break
                 if stack[i][0] not in INLINE and stack[i][0] not in ("p", "td", "th", "tr", "dt", "dd"):
                     break
-            _, path, noise, article = stack[-1] if stack else top
+        _, path, at_mark, article = stack[-1] if stack else top
         if m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
         name = tag + "".join("." + w for w in sorted(attrs.get("class", "").split()))
-        stack.append((tag, path if inline else f"{path}/{name}", noise or own_noise, article or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"))
+        if own:
+            marked.append([at_mark, own, 0, 0])
+            at_mark = len(marked) - 1
+        main = tag == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        if main or tag == "article" and _named(attrs) < NAMED:
+            article = True
+            if at_mark >= 0:
+                marked[at_mark][2] += not main
+                marked[at_mark][3] |= main
+        stack.append((tag, path if inline else f"{path}/{name}", at_mark, article))
         if tag in RAW:
             raw = tag
     flush()
-    return out
+    noise = _noise(marked, out)
+    return [(path, text, i >= 0 and noise[i], article) for path, text, i, article in out]
 
 
 def _shown(batches):

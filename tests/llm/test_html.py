@@ -70,3 +70,18 @@ def test_importance_judges_inside_and_outside_an_article(spark):
     for i in range(20):
         assert got[i] == f"teaser {i} body {i}" and got[100 + i] == f"head {i} story {i}"
         assert got[200 + i] == " ".join([f"paragraph of {i}", *(f"shared paragraph {j}" for j in range(5))])
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div class=no-sidebar", "div id=with-header", "div class='search-page'", "form action=/", "div class='page-with-comments x'", "div class=widget", "span class=main-banner"])
+def test_wrappers_that_name_noise_keep_the_page(wrapper):
+    inner = "<div class=sidebar>side</div><{0}><p>a <b>b</b>c</p><p>long text of the page</p></{0}><div class='main-nav'>links</div><form>f</form><div class=comment-list>comments that are longer than the text of the page itself</div>"
+    for tag in ("article", "main", *(("div",) if "widget" not in wrapper else ())):
+        page = f"<body><div class=site-header>name</div><{wrapper}>{inner.format(tag)}</{wrapper.split()[0]}></body>"
+        assert [b[1] for b in blocks(page) if not b[2]] == ["a bc", "long text of the page"], tag
+
+
+def test_cards_in_a_named_part_are_noise():
+    page = "<div><p>the body of this page is here</p></div><div class=related-posts><article>card 1</article><article>card 2</article></div><aside><article>card</article></aside><div class=ads>x</div>"
+    assert [b[1] for b in blocks(page) if not b[2]] == ["the body of this page is here"]
+    page = "<main><p>the body of this page is here</p></main><div class=related><article>card 1</article><article>card 2</article></div><aside><article>card</article></aside>"
+    assert [b[1] for b in blocks(page) if not b[2]] == ["the body of this page is here"]
