@@ -2,8 +2,8 @@
 
 A rule `host/path` fits its host and all subdomains if the url's path starts
 with the rule's; the longest fitting rule decides. Pages that name each other by
-canonical links or redirects (meta refresh) are aliases: connected components
-over those edges. A url that no rule fits is blocked if a rule blocks any of its
+canonical links or redirects (meta refresh; all of a page's count) are aliases:
+connected components over those edges. A url that no rule fits is blocked if a rule blocks any of its
 aliases, else allowed; an explicit allow always stands.
 
 Defined cases: null urls, or urls without `://`, have empty host and path, fit no
@@ -26,6 +26,15 @@ REST = r"^(?s:.*?)://[^/?#]*([^#]*)"
 LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 
+#: Characters and what stands for them in attributes; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = (("<", "lt|#0*60|#x0*3c"), (">", "gt|#0*62|#x0*3e"), ('"', "quot|#0*34|#x0*22"), ("'", "apos|#0*39|#x0*27"), ("/", "sol|#0*47|#x0*2f"), (":", "colon|#0*58|#x0*3a"), ("=", "equals|#0*61|#x0*3d"), ("?", "quest|#0*63|#x0*3f"), ("&", "amp|#0*38|#x0*26"))
+
+
+def decoded(target: Column) -> Column:
+    for char, names in ENTITIES:
+        target = F.regexp_replace(target, f"(?i)&(?:{names});", char)
+    return target
+
 
 def host_path(url: Column) -> tuple[Column, Column]:
     u = F.coalesce(url, F.lit(""))
@@ -53,8 +62,10 @@ def _node(url: Column) -> Column:
 def edges(pages: DataFrame) -> DataFrame:
     """(a, b): the page and what it names as canonical or redirects to."""
     host, _ = host_path(F.col("url"))
-    named = [F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract("html", pattern, 1)) for word, pattern in (("canonical", LINK), ("refresh", REFRESH))]
-    found = pages.select(_node(F.col("url")).alias("a"), host.alias("_h"), F.explode(F.array(*named)).alias("_to")).where("_to <> '' AND a IS NOT NULL")
+    none = F.array().cast("array<string>")
+    named = [F.coalesce(F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract_all("html", F.lit(pattern), F.lit(1))), none) for word, pattern in (("canonical", LINK), ("refresh", REFRESH))]
+    raw = pages.select(_node(F.col("url")).alias("a"), host.alias("_h"), F.explode(F.concat(*named)).alias("_to")).where("_to <> '' AND a IS NOT NULL")
+    found = raw.select("a", "_h", F.explode(F.array(decoded(F.col("_to")))).alias("_to"))
     full = F.when(F.col("_to").contains("://"), F.col("_to")).when(F.col("_to").startswith("//"), F.concat(F.lit("http:"), "_to")).when(F.col("_to").startswith("/"), F.concat(F.lit("http://"), "_h", "_to")).otherwise(F.concat(F.lit("http://"), F.regexp_replace("a", r"[^/]*$", ""), "_to"))
     # explode() keeps the optimizer from copying the long expressions into the filter.
     links = found.select("a", F.explode(F.array(full)).alias("_url")).select("a", F.explode(F.array(_node(F.col("_url")))).alias("b"))

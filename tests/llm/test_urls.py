@@ -35,3 +35,26 @@ def test_long_chain(spark):
     pages = [(i, f"http://h{i}.net/", f'<link rel="canonical" href="http://h{i + 1}.net/">') for i in range(n)] + [(n, f"http://h{n}.net/", '<link rel="canonical" href="http://s.com/de/1">')]
     got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert len(got) == n + 1 and all(r.verdict == "block" and r.by_alias for r in got)
+
+
+def test_all_links_of_a_page(spark):
+    """Each canonical link and each refresh of a page is an alias."""
+    refresh = '<meta http-equiv="refresh" content="{}; url={}">'
+    pages = [
+        (1, "http://a.net/1", '<link rel=canonical href="http://x.net/1"><p>t</p><LINK href="http://s.com/de/1" rel="canonical">'), (2, "http://x.net/1", ""),
+        (3, "http://a.net/3", refresh.format(0, "http://x.net/3") + refresh.format(5, "http://s.com/de/3") + '<link rel=canonical href="/4">'), (4, "http://x.net/3", ""), (5, "http://a.net/4", ""),
+        (6, "http://b.net/6", "<link rel=canonical href=/6><link rel=icon href=http://s.com/de/6>"), (7, None, "<link rel=canonical href=http://s.com/de/7>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows(judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert got == rows(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE['op3_urls']})").fetchall())
+    assert {r[0] for r in got if r[4] == "block"} == {1, 2, 3, 4, 5}
+
+
+def test_entities_of_targets(spark):
+    """Targets are decoded, once; the SQL compares them as they are written."""
+    pages = [(1, "http://s.com/de/1", '<link rel=canonical href="http://a.net/p?x=1&amp;y=2">'), (2, "http://a.net/p?x=1&y=2", ""), (3, "http://s.com/de/3", '<link rel=canonical href="http:&#x2F;&#47;b.net/?q=&amp;lt;">'), (4, "http://b.net/?q=&lt;", ""), (5, "http://b.net/?q=<", "")]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
