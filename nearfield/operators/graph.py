@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
 import numpy as np
 
@@ -31,7 +32,7 @@ class ShardGraph:
         self.links: list[list[list[int]]] = []  # node -> layer -> neighbours, global half first
         self.extra: list[list[int]] = []  # node -> the second half of layer 0
         self.entry = -1
-        self.members: dict[int, list[int]] = {}
+        self.members: dict[int, array] = {}  # part -> nodes, as long as the shard has them
         self.codes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._n = 0
 
@@ -109,16 +110,18 @@ class ShardGraph:
                         if not payload or self.filter[c] is not None and int(self.filter[c]) & 255 == part:
                             self._reverse_extra(c, n)
         if part is not None:
-            self.members.setdefault(part, []).append(n)
+            self.members.setdefault(part, array("q")).append(n)
         if self.entry < 0 or level > self.level[self.entry]:
             self.entry = n
 
     def _same_part(self, q: np.ndarray, part: int) -> list[tuple[float, int]]:
-        at = np.array(self.members.get(part, [])[-4096:], np.int64)
+        """The nearest members of a part, of all of them."""
+        at = np.array(self.members.get(part, ()), np.int64)
         if not len(at):
             return []
-        d = self.near(q, at)
-        few = np.argsort(d, kind="stable")[: self.o.ef_construction]
+        d, width = self.near(q, at), self.o.ef_construction
+        few = np.argpartition(d, width - 1)[:width] if len(at) > width else np.arange(len(at))
+        few = few[np.lexsort((few, d[few]))]
         return list(zip(d[few].tolist(), at[few].tolist(), strict=True))
 
     def _descend(self, q: np.ndarray, at: int, layer: int) -> int:

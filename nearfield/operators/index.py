@@ -7,6 +7,8 @@ from each other. Every change publishes a new version; a reader keeps its own.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +47,7 @@ def _unpack(pdf: pd.DataFrame, o: IndexOptions, seed: int) -> ShardGraph:
     g.entry = int(entry[0]) if len(entry) else -1
     for i, f in enumerate(g.filter):
         if f is not None:
-            g.members.setdefault(f & 255, []).append(i)
+            g.members.setdefault(f & 255, array("q")).append(i)
     return g
 
 

@@ -128,6 +128,23 @@ def test_members_first_and_payload_edges_help():
     assert recall(payload, 100, member_first=True) >= max(0.6, recall(plain, 100))
 
 
+def test_payload_edges_see_all_of_a_hot_bucket():
+    """Members are candidates however many came after them; recall at a practical budget holds against brute force."""
+    rng = np.random.default_rng(5)
+    x, bucket = rng.normal(size=(7000, 8)), np.where(np.arange(7000) % 10 < 7, 1, np.arange(7000) % 9 + 2)
+    g = ShardGraph(IndexOptions(m=8, ef_construction=24, payload_edges=True), 8, 1)
+    g.add(range(7000), bucket.tolist(), x)
+    hot = np.flatnonzero(bucket == 1)
+    for n in hot[:5]:  # 4,900 members, of which these are the oldest
+        near = hot[np.argsort(((x[hot] - x[n]) ** 2).sum(axis=1), kind="stable")][:24]
+        assert [i for _, i in g._same_part(x[n], 1)] == near.tolist()
+    hits = 0
+    for n in hot[:40]:
+        want = hot[np.argsort(((x[hot] - x[n]) ** 2).sum(axis=1), kind="stable")][:10]
+        hits += len(set(want.tolist()) & {i for _, i in g.search(x[n], bucket == 1, 40, 10)[0]})
+    assert hits >= 0.9 * 400
+
+
 def test_diverse_neighbours_on_clusters():
     rows = clusters()
     queries = [[x + 0.15 for x in rows[c][2]] for c in range(10)]
