@@ -31,7 +31,6 @@ from nearfield.llm.common import tidy, wrapped
 
 ORDER = 3
 SAMPLE_ROWS = 300  # labelled rows learned from, for each language
-LANGUAGES = 100  # at most
 LEAST_SEEN = 2  # a context gets a node if some language saw it so often
 PIECE = 1 << 18  # symbols scored at a time
 LETTER = re.compile(r"[^\W\d_]")
@@ -156,13 +155,14 @@ class Model:
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """From text and lang of at most `rows` documents a language, the first by a
-    hash of doc_id, not held out, of at most LANGUAGES languages."""
+    hash of doc_id, not held out; of rows that repeat a doc_id the least text."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang").distinct().limit(rows * LANGUAGES)
+    ids = labelled.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
     samples: dict[str, list[str]] = {}
-    # ids holds rows * LANGUAGES rows at most, so it can be sent to every executor.
-    for lang, text in labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text").sort("lang", "text").limit(rows * LANGUAGES).collect():
+    # ids holds at most `rows` rows a language, as the model does, so it can be sent to every executor.
+    sample = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    for lang, text in sample.select("lang", "text").collect():
         samples.setdefault(lang, []).append(text)
     return Model(samples)
 
@@ -193,6 +193,10 @@ def predict(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def known_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs in a learned language, with their columns."""
+    """The rows of docs in a learned language, with their columns; if none could
+    be learned, those with a letter."""
+    model = train(docs, rows)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows_in = wrapped(docs).select("_doc", F.col("_doc.text").alias("text"))
-    return identify(rows_in, train(docs, rows), ["_doc"]).where("lang_pred <> 'und'").select("_doc.*")
+    return identify(rows_in, model, ["_doc"]).where("lang_pred <> 'und'").select("_doc.*")

@@ -73,3 +73,22 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns and kept.count() == 12
     assert predict(df.limit(0)).collect() == [] and known_language(df.limit(0)).collect() == []
     assert {r.lang_pred for r in predict(df.where("lang IS NULL")).collect()} == {"und"}
+
+
+def test_repeated_ids_and_many_languages(spark):
+    """A doc_id repeated often takes one place of the sample, and every language is learned."""
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(free[0], "one text again and again", "aa")] * 500
+    rows += [(free[k], f"{chr(0x4E00 + k) * 5} word", f"l{k:03}") for k in range(1, 121)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=2)
+    assert model.langs == ["aa", *(f"l{k:03}" for k in range(1, 121))]
+    rows = [(free[0], "the same", "aa")] * 5 + [(free[k], "wwwwww", "aa") for k in range(1, 4)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=4)
+    only = Model({"aa": ["the same"] + ["wwwwww"] * 3})
+    assert np.array_equal(model.cost, only.cost)
+
+
+def test_nothing_learned_keeps_texts(spark):
+    rows = [(1, "some text", None), (2, "123", None), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [tuple(r) for r in known_language(df).collect()] == [rows[0]]
