@@ -10,8 +10,10 @@ each pair of blocks meet in a window per query.
 
 Defined cases: a vector that is null, empty, or holds a null, NaN or infinity
 takes no part, nor does a null id; only vectors of one length are compared; rows
-that repeat an id and vector count once, and a query never meets its own id; an
-empty table gives an empty result; extra columns are ignored.
+that repeat an id and vector count once, and a query never meets its own id (a
+query id with several vectors is asked with each, and its best rows are ranked
+together); a score that 64 bits can't hold counts as the nearest one they can;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,45 +27,71 @@ BLOCK, QUERY_BLOCK, DIMS = 8192, 2048, 16
 
 
 def quantise(vectors: list, scale: float) -> np.ndarray:
-    return np.floor(scale * np.asarray(vectors, dtype=np.float64))
+    with np.errstate(over="ignore"):  # a product beyond the range is the largest number in it
+        return np.nan_to_num(np.floor(scale * np.asarray(vectors, dtype=np.float64)))
+
+
+def _limit(dim: int) -> float:
+    """Components below it give scores that float64 holds exactly."""
+    return 2.0**26 / np.sqrt(max(dim, 1))
 
 
 def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q and columns of x (dimensions by candidates), both whole numbers
-    -> (row of q, id, score) of the k best for each row, ids ascending in ties."""
+    -> (row of q, id, score) of the k best for each row, ids ascending in ties.
+    Pairs with a vector of very large components are summed up as whole numbers
+    of any size."""
+    limit = _limit(q.shape[1])
+    plain_q, plain_x = np.abs(q).max(axis=1, initial=0) < limit, np.abs(x).max(axis=0, initial=0) < limit
+    if plain_q.all() and plain_x.all():
+        return _bound(q, x, ids, own, k)
+    parts, columns = [], (np.flatnonzero(plain_x), np.flatnonzero(~plain_x))
+    some = np.flatnonzero(plain_q)
+    rows, found, scores = _bound(q[some], np.ascontiguousarray(x[:, columns[0]]), ids[columns[0]], own[some], k)
+    parts.append((some[rows], found, scores))
+    for i in range(len(q)):
+        for at in columns[1] if plain_q[i] else range(len(ids)):
+            if ids[at] != own[i]:
+                score = sum(int(a) * int(b) for a, b in zip(q[i], x[:, at], strict=True))
+                parts.append((np.array([i]), ids[at : at + 1], np.array([min(max(score, -(2**63)), 2**63 - 1)])))
+    rows, found, scores = (np.concatenate([p[j].astype(np.int64) for p in parts]) for j in range(3))
+    order = np.lexsort((found, ~scores, rows))  # ~ turns the order and, unlike -, can't overflow
+    rows, found, scores = rows[order], found[order], scores[order]
+    first = np.searchsorted(rows, rows)
+    best = np.arange(len(rows)) - first < k
+    return rows[best], found[best], scores[best]
+
+
+def _bound(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`search` by branch and bound, for scores below 2 ** 53."""
     steps = range(0, q.shape[1], DIMS)
-    # Exact as float64 while every sum stays below 2**53, else as whole numbers.
-    kind = np.float64 if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**52 else object
-    q, x = (q, x) if kind is np.float64 else (q.astype(object) * 1, x.astype(object) * 1)
-    if kind is object:
-        q, x = np.vectorize(int, otypes=[object])(q), np.vectorize(int, otypes=[object])(x)
-    square = lambda a, axis: np.sqrt(np.cumsum(np.flip(np.add.reduceat((a * a).astype(np.float64), list(steps), axis=axis), axis), axis=axis))
+    square = lambda a, axis: np.sqrt(np.cumsum(np.flip(np.add.reduceat(a * a, list(steps), axis=axis), axis), axis=axis))
     q_rest = np.flip(square(q, 1), 1)  # norm from each dimension block on
     x_rest = np.flip(square(x, 0), 0)
     rows, out_ids, scores = [], [], []
     for i in range(len(q)):
-        live, score = None, np.zeros(len(ids), dtype=kind)
+        live, score = None, np.zeros(len(ids))
         for b, at in enumerate(steps):
             block = x[at : at + DIMS]
             score = score + q[i, at : at + DIMS] @ (block if live is None else block[:, live])
             if at + DIMS >= q.shape[1]:
                 break
             rest = q_rest[i, b + 1] * (x_rest[b + 1] if live is None else x_rest[b + 1][live]) * (1 + 1e-9) + 1e-6
-            known = score.astype(np.float64)
             # The query itself may be among the k best here: one more is kept.
-            if len(known) > k + 1:
-                sure = np.partition(known - rest, -(k + 1))[-(k + 1)]
-                keep = np.flatnonzero(known + rest >= sure)
+            if len(score) > k + 1:
+                sure = np.partition(score - rest, -(k + 1))[-(k + 1)]
+                keep = np.flatnonzero(score + rest >= sure)
                 live = keep if live is None else live[keep]
                 score = score[keep]
         live = np.arange(len(ids)) if live is None else live
         other = ids[live] != own[i]
         live, score = live[other], score[other]
-        best = np.lexsort((ids[live], -score))[:k] if kind is np.float64 else np.array(sorted(range(len(live)), key=lambda j: (-score[j], ids[live[j]]))[:k], dtype=int)
+        best = np.lexsort((ids[live], -score))[:k]
         rows.append(np.full(len(best), i))
         out_ids.append(ids[live[best]])
         scores.append(score[best])
-    return np.concatenate(rows or [np.empty(0, int)]), np.concatenate(out_ids or [np.empty(0, int)]), np.concatenate(scores or [np.empty(0)])
+    whole = lambda a: np.concatenate([np.empty(0, np.int64), *a]).astype(np.int64)
+    return whole(rows), np.concatenate([np.empty(0, np.int64), *out_ids]), np.concatenate([np.empty(0), *scores]).astype(np.int64)
 
 
 def _pack(scale: float, group: str):
@@ -72,8 +100,9 @@ def _pack(scale: float, group: str):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         values = quantise(pdf["embedding"].tolist(), scale)
-        keep = ~pd.DataFrame(np.column_stack([pdf["vec_id"], values])).duplicated().to_numpy()
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "dim": [values.shape[1]], "ids": [pdf["vec_id"].to_numpy(np.int64)[keep].tobytes()], "cols": [np.ascontiguousarray(values[keep].T).tobytes()]})
+        ids = pdf["vec_id"].to_numpy(np.int64)  # ids never pass through floating point
+        keep = ~pd.DataFrame(values).assign(vec_id=ids).duplicated().to_numpy()
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "dim": [values.shape[1]], "ids": [ids[keep].tobytes()], "cols": [np.ascontiguousarray(values[keep].T).tobytes()]})
 
     return pack
 
@@ -99,7 +128,7 @@ def top_k(items: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: i
         unpack = lambda f: (np.frombuffer(f["ids"].iloc[0], np.int64), np.frombuffer(f["cols"].iloc[0]).reshape(f["dim"].iloc[0], -1))
         (ids, x), (own, q) = unpack(a), unpack(b)
         rows, found, scores = search(np.ascontiguousarray(q.T), x, ids, own, k)
-        return pd.DataFrame({"query_id": own[rows], "vec_id": found, "score": scores.astype(np.int64)})
+        return pd.DataFrame({"query_id": own[rows], "vec_id": found, "score": scores})
 
     met = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
