@@ -10,7 +10,7 @@ alike. All languages share one set of context nodes, so the deepest node of ever
 position is looked up once and its exact code lengths in all languages are one
 row of a table. A text's language is that of the least total code length (the
 first by name in a tie); the score is its share of 2 ** -length over all
-languages.
+languages, the gain the share of bits it saves against a code without any model.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as
 is everything if no row can be learned from; a null doc_id is neither held out
@@ -20,10 +20,9 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +30,13 @@ from nearfield.llm.common import tidy, wrapped
 
 ORDER = 3
 SAMPLE_ROWS = 300  # labelled rows learned from, for each language
+SAMPLE_CHARS = 20_000  # characters learned from in one of them: a stretch at a hashed place of a longer text
+OVERSAMPLE = 4  # times SAMPLE_ROWS: rows that a threshold of the hash lets through before they are ranked
+LEAST_SCORE = 0.5  # in the pipeline: the language is likelier than all others together
+LEAST_GAIN = 0.0  # in the pipeline: a text that no language's model codes shorter than no model is in none of them
 LEAST_SEEN = 2  # a context gets a node if some language saw it so often
 PIECE = 1 << 18  # symbols scored at a time
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SPACE, OTHER, HIGH = 0, 27, 28  # symbols: 1..26 letters, 28.. bytes from 0x80 seen in training
 
 
@@ -121,8 +124,10 @@ class Model:
             out[full] = np.add.reduceat(np.concatenate([bits, np.zeros((1, len(self.langs)), np.float32)]), cuts, axis=0, dtype=np.float64)[::2]
         return out
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found, group, held = [("und", 0.0)] * len(texts), [], 0
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score and gain of each text."""
+        found, group, held = [("und", 0.0, 0.0)] * len(texts), [], 0
+        size = dict.fromkeys(range(len(texts)), 0)
 
         def settle():
             nonlocal group, held
@@ -140,6 +145,7 @@ class Model:
             if not t or not self.langs or not LETTER.search(t):
                 continue
             s = self.symbols(t.encode("utf-8", "surrogatepass"), True)
+            size[i] = len(s) - self.order
             for at in range(0, max(1, len(s) - self.order), PIECE):
                 piece = s[at : at + PIECE + self.order]
                 group.append((i, piece))
@@ -149,31 +155,39 @@ class Model:
         settle()
         for i, b in sums.items():
             best = int(np.argmin(b))
-            found[i] = (self.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum()))
+            found[i] = (self.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum()), float(1 - b[best] / (size[i] * np.log2(self.size))))
         return found
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """From text and lang of at most `rows` documents a language, the first by a
-    hash of doc_id, not held out; of rows that repeat a doc_id the least text."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
+    hash of doc_id, not held out; of rows that repeat a doc_id the least text, and
+    of a text over `chars` characters a stretch of so many. Only rows whose hash
+    is below a threshold, set by the language's number of documents, are ranked:
+    their number depends neither on the input nor on the number of tasks."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("_h", F.xxhash64(F.lit("langid"), "doc_id"))
+    # One narrow row a language, as in the model itself, which every executor gets.
+    share = labelled.groupBy("lang").agg((F.lit(float(OVERSAMPLE * rows)) / F.approx_count_distinct("doc_id")).alias("_share")).withColumnRenamed("lang", "_l")
+    low = (F.col("_h") / F.lit(2.0**64) + 0.5) <= F.col("_share")
+    some = labelled.select("doc_id", "lang", "_h").join(F.broadcast(share), (F.col("lang") == F.col("_l")) & low).select("doc_id", "lang", "_h").distinct()
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
     samples: dict[str, list[str]] = {}
     # ids holds at most `rows` rows a language, as the model does, so it can be sent to every executor.
     sample = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    for lang, text in sample.select("lang", "text").collect():
+    at = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
+    for lang, text in sample.select("lang", F.substr("text", at.cast("int"), F.lit(chars))).collect():
         samples.setdefault(lang, []).append(text)
     return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns `keep`, lang_pred and score for every row."""
+    """docs' columns `keep`, lang_pred, score and gain for every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
     at = source.columns.index("text")
-    schema = source.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = source.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("gain", "double")
 
     def run(batches):
         m = shared.value
@@ -181,7 +195,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for i in range(0, batch.num_rows, 512):
                 few = batch.slice(i, 512)
                 found = m.score(few.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(few.column(k) for k in range(len(keep))), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(few.column(k) for k in range(len(keep))), pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))], names=schema.names)
         tidy()
 
     return source.mapInArrow(run, schema)
@@ -193,10 +207,11 @@ def predict(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def known_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs in a learned language, with their columns; if none could
-    be learned, those with a letter."""
+    """The rows of docs in a learned language, with their columns: those with a
+    letter that the likeliest language's model codes shorter than no model (gain
+    above LEAST_GAIN), if its score is at least LEAST_SCORE. If no language could be learned, those with a letter."""
     model = train(docs, rows)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     rows_in = wrapped(docs).select("_doc", F.col("_doc.text").alias("text"))
-    return identify(rows_in, model, ["_doc"]).where("lang_pred <> 'und'").select("_doc.*")
+    return identify(rows_in, model, ["_doc"]).where((F.col("lang_pred") != "und") & (F.col("gain") > LEAST_GAIN) & (F.col("score") >= LEAST_SCORE)).select("_doc.*")

@@ -14,18 +14,19 @@ def words(t):
 
 
 def brute(docs, items):
-    out = []
+    out, windows = [], {}
+    for item, t in items:
+        b = words(t)
+        n = min(len(b), 13)
+        for i in range(len(b) - n + 1) if b else ():
+            windows.setdefault(n, {}).setdefault(tuple(b[i : i + n]), set()).add(item)
     for doc_id, text in docs:
         w, hit, found = words(text), set(), set()
-        for item, t in items:
-            b = words(t)
-            n = min(len(b), 13)
-            for i in range(len(b) - n + 1) if b else ():
-                for j in range(len(w) - n + 1):
-                    if w[j : j + n] == b[i : i + n]:
-                        hit |= set(range(j, j + n))
-                        if item is not None:
-                            found.add(str(item))
+        for n, known in windows.items():
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in known:
+                    hit |= set(range(j, j + n))
+                    found |= {str(x) for x in known[tuple(w[j : j + n])] if x is not None}
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 

@@ -47,7 +47,8 @@ def test_code_lengths():
     assert (m.symbols(b"A  1, b") == [1, SPACE, 2]).all()
     assert [x[0] for x in m.score(["the cat", "el gato", None, "", "12 !", "日本"])] == ["aa", "bb", "und", "und", "und", m.score(["日本"])[0][0]]
     long = "the cat " * 200_000
-    assert m.score([long])[0] == ("aa", 1.0)
+    assert m.score([long])[0][:2] == ("aa", 1.0)
+    assert [x[:2] for x in m.score(["½ ②", "² ③ Ⅷ", "ªb", "ʰ"])[:2]] == [("und", 0.0)] * 2 and m.score(["ʰ"])[0][0] != "und"
 
 
 def test_held_out_accuracy(spark, sf):
@@ -78,10 +79,12 @@ def test_defined_cases(spark):
 def test_repeated_ids_and_many_languages(spark):
     """A doc_id repeated often takes one place of the sample, and every language is learned."""
     free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
-    rows = [(free[0], "one text again and again", "aa")] * 500
-    rows += [(free[k], f"{chr(0x4E00 + k) * 5} word", f"l{k:03}") for k in range(1, 121)]
-    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=2)
-    assert model.langs == ["aa", *(f"l{k:03}" for k in range(1, 121))]
+    rows = [(free[0], "one text again and again", "aa")] * 50_000
+    rows += [(free[k], f"{chr(0x4E00 + k) * 5} word", f"l{k:03}") for k in range(1, 161)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, rows=2)
+    assert model.langs == ["aa", *(f"l{k:03}" for k in range(1, 161))]
+    assert np.array_equal(model.cost, train(df.repartition(7), rows=2).cost)
     rows = [(free[0], "the same", "aa")] * 5 + [(free[k], "wwwwww", "aa") for k in range(1, 4)]
     model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=4)
     only = Model({"aa": ["the same"] + ["wwwwww"] * 3})
@@ -92,3 +95,30 @@ def test_nothing_learned_keeps_texts(spark):
     rows = [(1, "some text", None), (2, "123", None), (3, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert [tuple(r) for r in known_language(df).collect()] == [rows[0]]
+
+
+def test_sample_is_bounded(spark):
+    """A very long text gives a stretch of it; of many documents the sample has its rows, whatever their partitions."""
+    from nearfield.llm import langid
+
+    free = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    seen = []
+    real, langid.Model = langid.Model, lambda samples: seen.append(samples)
+    try:
+        df = spark.createDataFrame([(i, f"a{i} " * (100 if k else 300_000), "xx") for k, i in enumerate(free)], "doc_id long, text string, lang string")
+        for parts in (1, 16):
+            train(df.repartition(parts), rows=20, chars=500)
+        train(df.limit(1), rows=20, chars=500)
+    finally:
+        langid.Model = real
+    assert seen[0].keys() == {"xx"} and sorted(seen[0]["xx"]) == sorted(seen[1]["xx"]) and len(seen[0]["xx"]) == 20
+    assert all(len(t) <= 500 for t in seen[0]["xx"]) and [len(t) for t in seen[2]["xx"]] == [500]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """What no model codes shorter than no model is rejected."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "the cat sat on the mat and that was that", "en") for i in range(30)]
+    rows += [(100 + i, "".join(rng.choice(list("qxzjkvwüÿ01"), 60)), "en" if i else None) for i in range(3) if zlib.crc32(str(100 + i).encode()) % 3 == 1 or not i]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in known_language(df).collect()} == set(range(30))
