@@ -1,7 +1,7 @@
 """Token-ID output: documents -> wavelet matrix shards -> rows read back.
 
-Documents are range-partitioned and sorted by doc_id (null first, then by a hash
-of the text), tokenised, closed by an end id and written as shards of up to
+Documents are range-partitioned and sorted by doc_id (null first) and a hash of
+the text, so that rows that share a doc_id can be split, tokenised, closed by an end id and written as shards of up to
 SHARD_TOKENS ids (a document is never split) into the shared folder. Every
 attempt of a task writes files of its own name; only those that a finished
 attempt reported count, so lost executors leave no half or double shards.
@@ -216,7 +216,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     made, _ = materialize(ordered.mapInArrow(_writer(tokenizer_path, folder, shard_tokens, end_id), "name string, part int, seq int, tokens long"), "shards")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
