@@ -56,6 +56,12 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
 
 
+def row_hash(docs: DataFrame, of: str = "_doc") -> Column:
+    """A hash of all columns of docs (wrapped as `of`), maps and variants too."""
+    plain = lambda f: not any(k in f.dataType.simpleString() for k in ("map<", "variant"))
+    return F.xxhash64(F.lit("row"), *(F.col(f"{of}.`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"{of}.`{f.name}`"))) for f in docs.schema))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

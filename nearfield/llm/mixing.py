@@ -3,24 +3,36 @@
 Sources in code point order (null last) weigh 5, 2, 1, 5, 2, 1, ... and share
 the corpus total; a target stops at REPEATS times its source's size and the
 excess goes to the others by weight. Each source offers its documents in a
-hashed order, REPEATS times over. A document's virtual finish time is the number
-of its source's words up to and with it, divided by the source's target. All
-offers are ordered by finish time and taken until the total budget is reached.
+hashed order, REPEATS times over. An offer's virtual finish time is the number
+of its source's words up to and with it, divided by the source's target. In the
+global order of finish times the total budget is reached at time 1: offers that
+finish by then are taken whole, and those in service, one per source at most,
+are truncated to the words served by then; the words that remain of rounding go,
+one each, to the sources whose offer in service finishes first. So what is taken
+adds up to the budget, and each source's part is its target, to a word.
 
-Defined cases: null text has size 0; a source without words has target 0 and
-nothing of it is taken; repeated rows are documents of their own; an empty table
-gives an empty result. Every choice depends on the rows alone, so reruns agree.
+The mix comes out in the order of virtual finish times. As time 1 serves the
+whole budget, equal stretches of time hold equally many words: they are the
+splitters of the range partitioning, without a sample.
+
+Defined cases: null text has size 0; documents without words are taken as often
+as their place in the queue says, with 0 words; a source without words has target
+0 and nothing of it is taken; repeated rows are documents of their own, and equal
+rows are interchangeable; an empty table gives an empty result. Every choice
+depends on the rows alone, so reruns agree. A truncated text keeps its first
+words and the white space between them; other columns stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, running_sum, wrapped
+from nearfield.llm.common import materialize, row_hash, running_sum, wrapped
 
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
 ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
+EQUAL_ROWS = 10_000  # equal rows that queue as one; more are dealt out over several places
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,41 +60,82 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
     return s.withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("_w")), F.col("_cap"))).select("source", "source_no", "source_size", "target")
 
 
-def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tuple = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies
-    (how many of its offers the queue takes) and taken; `keep` is carried."""
-    sized, _ = materialize(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), *keep), "sized")
-    rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+def queues(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tuple = ()) -> DataFrame:
+    """The queue: one row for up to EQUAL_ROWS equal documents, with doc_id,
+    source, size, keep, source_no, source_size, target, words (its source's part
+    of the budget), equal (how many documents it stands for) and _upto (the
+    source's words up to and with all of them)."""
+    same = ["doc_id", "source", "size", *keep]
+    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), *keep)
+    sized, _ = materialize(sized.groupBy(*same).agg(F.count("*").alias("equal")), "sized")
+    rows = sized.agg(F.coalesce(F.sum(F.ceil(F.col("equal") / EQUAL_ROWS)), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
-    known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    known, _ = materialize(known, "targets")
+    known = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("source_size")), weights, repeats)
+    known, _ = materialize(known.withColumn("words", F.floor("target")), "targets")
     d = sized.join(known.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    d = d.select("*", F.explode(F.sequence(F.lit(0), ((F.col("equal") - 1) / EQUAL_ROWS).cast("int"))).alias("_part")).withColumn("equal", F.least(F.col("equal") - F.col("_part") * EQUAL_ROWS, F.lit(EQUAL_ROWS)))
     # The shuffled order of a source: its documents by hash, dealt out over ranges of the hash.
-    d = d.withColumn("_h", F.xxhash64(F.lit("mixing"), "doc_id", "size")).withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * buckets))
-    d = running_sum(d, ["source_no"], "_b", ["_h", "doc_id", *keep], "size", "_upto")
-    d, _ = materialize(d, "queues")
-    finish = [F.when(F.col("target") > 0, (F.lit(r) * F.col("source_size") + F.col("_upto")) / F.col("target")) for r in range(repeats)]
-    # All offers on one time line, cut into ranges of the finish time. Those that end together are taken together.
-    each = d.select("size", F.explode(F.array(*finish)).alias("_finish")).where("_finish IS NOT NULL")
-    # Ranges are narrow around 1, where the cut is, and grow wider without end beyond.
-    each = each.withColumn("_range", F.floor(F.col("_finish") / (1 + F.col("_finish")) * (4 * buckets)))
-    sums = each.groupBy("_range").agg(F.sum("size").alias("_sum"))
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    line = each.join(base, "_range").withColumn("_queue", F.col("_base") + F.sum("size").over(Window.partitionBy("_range").orderBy("_finish").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = line.where(F.col("_queue") <= budget).agg(F.max("_finish")).first()[0]
-    copies = sum((F.coalesce(f <= F.lit(last), F.lit(False)).cast("int") for f in finish), F.lit(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *keep)
+    d = d.withColumn("_h", F.xxhash64(F.lit("mixing"), "doc_id", "size", "_part")).withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * buckets))
+    d = running_sum(d.withColumn("_all", F.col("size") * F.col("equal")), ["source_no"], "_b", ["_h", "doc_id", *keep, "_part"], "_all", "_upto")
+    d, _ = materialize(d.drop("_h", "_b", "_all", "_part"), "queues")
+    # One row per source at most: the offer in service at the cut, by its finish time.
+    offer = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")
+    serving = d.where("size > 0").select("*", offer)
+    end = F.col("_r") * F.col("source_size") + F.col("_upto")
+    first = end - F.col("size") * F.col("equal")
+    own_end = first + (F.floor((F.col("words") - first) / F.col("size")) + 1) * F.col("size")
+    serving = serving.where((first <= F.col("words")) & (end > F.col("words"))).select("source_no", (own_end / F.col("target")).alias("_finish"))
+    spare = known.agg(F.round(F.sum("target") - F.sum("words")).alias("_spare"))
+    more = serving.withColumn("_rank", F.row_number().over(Window.orderBy("_finish", "source_no"))).join(F.broadcast(spare), F.col("_rank") <= F.col("_spare")).select("source_no")
+    known, _ = materialize(known.join(more.withColumn("_more", F.lit(1)), "source_no", "left").select("source_no", (F.col("words") + F.coalesce("_more", F.lit(0))).alias("words")), "parts")
+    return d.drop("words").join(known, "source_no")
+
+
+def _served(upto: Column, repeats: int) -> tuple[Column, Column]:
+    """How many offers of a document are begun, and the words served, if its own
+    words end at `upto` in its source's order."""
+    start = [F.lit(r) * F.col("source_size") + upto - F.col("size") for r in range(repeats)]
+    copies = sum(((s < F.col("words")).cast("int") for s in start), F.lit(0))
+    taken = sum((F.least(F.greatest(F.col("words") - s, F.lit(0)), F.col("size")) for s in start), F.lit(0))
+    return copies, taken.cast("long")
+
+
+def each(queue: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """One row per document of the queue, with copies and taken."""
+    d = queue.select("*", F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("_i"))
+    d = d.withColumn("_upto", F.col("_upto") - (F.col("equal") - F.col("_i")) * F.col("size"))
+    copies, taken = _served(F.col("_upto"), repeats)
+    return d.withColumns({"copies": copies, "taken": taken})
+
+
+def mix_table(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, keep: tuple = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies
+    (how many of its offers the queue begins) and taken (words); `keep` is carried."""
+    return each(queues(docs, weights, repeats, keep), repeats).select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *keep)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n), "")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: each row of docs as often as the queue takes it, with
-    all its columns."""
-    # A key without nulls: the join and the window then share one partitioning.
+    """The mix itself: each row of docs as often as the queue takes it, the one
+    at its source's cut truncated, with all columns, in the order of finish times."""
     key = ["_row", "_id", "_null"]
     keyed = lambda df: df.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
-    marked = wrapped(docs).select("_doc", "_doc.doc_id", "_doc.source", "_doc.text", F.xxhash64(*(F.col(f"_doc.`{c}`") for c in docs.columns)).alias("_row"))
-    mixed = keyed(mix_table(marked, weights, repeats, keep=("_row",))).groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    # Equal rows share a key; the i-th of them takes the i-th count.
-    nth = Window.partitionBy(*key).orderBy(F.lit(1))
-    out = keyed(marked).select("_doc", *key).join(mixed, key).withColumn("_n", F.element_at("_copies", F.row_number().over(nth))).where("_n > 0")
-    return out.select("_doc", F.explode(F.expr("sequence(1, _n)"))).select("_doc.*")
+    marked = wrapped(docs).select("_doc", "_doc.doc_id", "_doc.source", "_doc.text", row_hash(docs).alias("_row"))
+    queue = each(queues(marked, weights, repeats, ("_row",)), repeats).where("copies > 0")
+    # Equal rows share a key, and are shuffled as one. Of the counts that they take only a few are different.
+    begin = F.col("_upto") - F.col("size")
+    levels = keyed(queue).groupBy(*key, "copies", "taken").agg(F.count("*").alias("rows"), F.min("size").alias("size"), F.min(begin / F.col("target")).alias("at"), F.min(F.col("source_size") / F.col("target")).alias("lap"))
+    levels = levels.groupBy(*key).agg(F.collect_list(F.struct("copies", "taken", "rows", "size", "at", "lap")).alias("_levels"))
+    chosen = keyed(marked).groupBy(*key).agg(F.first("_doc").alias("_doc")).join(levels, key).select("_doc", F.explode("_levels").alias("_l"))
+    copy = chosen.select("_doc", "_l", F.explode(F.sequence(F.lit(1), F.col("_l.rows"))).alias("_i")).select("_doc", "_l", F.explode(F.sequence(F.lit(0), F.col("_l.copies") - 1)).alias("_r"))
+    left = F.col("_l.taken") - F.col("_r") * F.col("_l.size")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    finish = F.col("_l.at") + F.col("_r") * F.col("_l.lap")
+    out = copy.select("_doc", left.alias("_left"), (left < F.col("_l.size")).alias("_cut"), finish.alias("_time"))
+    out = out.repartitionById(parts, F.least(F.floor(F.coalesce("_time", F.lit(0.0)) * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("_time")
+    text = F.when(F.col("_cut"), first_words(F.col("_doc.text"), F.col("_left").cast("int"))).otherwise(F.col("_doc.text"))
+    return out.select(*(text.alias("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))

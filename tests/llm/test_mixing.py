@@ -1,7 +1,9 @@
+import math
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm.mixing import mix_documents, mix_table
 
@@ -28,41 +30,102 @@ def goals(sizes):
 DOCS = [(i, "w " * (i % 17 + 1), f"s{i % 7}" if i % 3 else "s0") for i in range(600)] + [(700, None, "s1"), (701, "", None), (702, "a b c", None), (702, "a b c", None), (None, "x y", "Ä"), (703, "l " * 40, "zz"), (704, "", "empty")]
 
 
-def test_against_targets(spark):
-    df = spark.createDataFrame([(*d, 1.0) for d in DOCS], "doc_id long, text string, source string, target double")
+def queue(spark, docs):
+    """(doc_id, source, size, taken) by serving each source word by word, in its hashed order."""
+    sized = spark.createDataFrame([(i, s, len(WORD.findall(t or ""))) for i, t, s in docs], "doc_id long, source string, size long")
+    hashed = [tuple(r) for r in sized.select("doc_id", "source", "size", F.xxhash64(F.lit("mixing"), "doc_id", "size", F.lit(0))).collect()]
+    by, out = defaultdict(list), []
+    for i, s, size, h in hashed:
+        by[s].append((h, i if i is not None else -math.inf, size, i))
+    sizes = {s: sum(x[2] for x in rows) for s, rows in by.items()}
+    target = goals(sizes)
+    words, finish = {s: math.floor(t + 1e-9) for s, t in target.items()}, []
+    for no, s in enumerate(sorted(by, key=lambda s: (s is None, (s or "").encode()))):
+        by[s].sort(key=lambda x: x[:2])
+        end = 0
+        for _, _, size, _ in by[s] * 3:
+            end += size
+            if end > words[s]:
+                finish.append((end / target[s], no, s))
+                break
+    for _, _, s in sorted(finish)[: round(sum(target.values()) - sum(words.values()))]:
+        words[s] += 1
+    for s, rows in by.items():
+        left, taken = words[s], [0] * len(rows)
+        for k in [*range(len(rows))] * 3:
+            part = min(left, rows[k][2])
+            taken[k] += part
+            left -= part
+        out += [(x[3], s, x[2], t) for x, t in zip(rows, taken, strict=True)]
+    return out, words, target
+
+
+def made(df):
+    return sorted(((r.doc_id, r.source, r.size, r.taken) for r in mix_table(df).collect()), key=repr)
+
+
+MORE = [
+    DOCS, [(1, "l " * 300_000, "a"), (2, "x", "b"), (3, "y", "b")], [(1, "w " * 1000, "a"), (2, "w " * 900, "b"), (3, "w " * 5, "c")],
+    [(i, "w " * (1 + i * i % 31), f"s{i % 4}") for i in range(90)] + [(5, "same text", "s1")] * 40,
+]
+
+
+@pytest.mark.parametrize("docs", MORE)
+def test_against_a_plain_queue(spark, docs):
+    df = spark.createDataFrame([(*d, 1.0, "z") for d in docs], "doc_id long, text string, source string, target double, words string")
     got = mix_table(df).collect()
-    assert sorted((str(r.doc_id), r.size, r.source or "") for r in got) == sorted((str(i), len(WORD.findall(t or "")), s or "") for i, t, s in DOCS)
-    sizes = Counter()
-    for _, t, s in DOCS:
-        sizes[s] += len(WORD.findall(t or ""))
-    target, taken, largest = goals(sizes), Counter(), defaultdict(int)
+    expected, words, target = queue(spark, docs)
+    assert made(df) == sorted(expected, key=repr) == made(df.repartition(5))
+    taken, sizes = Counter(), Counter()
     for r in got:
-        assert r.source_size == sizes[r.source]
-        assert r.target == pytest.approx(target[r.source])
-        assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
+        assert r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3 and r.taken <= 3 * r.size
+        assert (r.copies - 1) * r.size <= r.taken <= r.copies * r.size or not r.size
         taken[r.source] += r.taken
-        largest[r.source] = max(largest[r.source], r.size)
-    assert sum(taken.values()) <= sum(sizes.values())
-    for s in sizes:
-        assert abs(taken[s] - target[s]) <= 2 * largest[s] + 0.03 * target[s]
-    again = {(r.doc_id, r.size, r.copies) for r in mix_table(df.repartition(5)).collect()}
-    assert again == {(r.doc_id, r.size, r.copies) for r in got}
+        sizes[r.source] += r.size
+    assert all(r.source_size == sizes[r.source] for r in got)
+    assert +taken == Counter({s: w for s, w in words.items() if w}) and sum(taken.values()) == sum(sizes.values())
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
-def test_documents(spark):
-    df = spark.createDataFrame([(*d, 1, "z") for d in DOCS], "doc_id long, text string, source string, _row int, copies string")
+def test_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr("nearfield.llm.mixing.EQUAL_ROWS", 7)
+    docs = [(1, "a b c", "s")] * 100 + [(2, "d e", "s"), (3, "f " * 500, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mix_table(df).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    target = goals({"s": 302, "t": 500})
+    assert len(got) == 102 and all(abs(taken[s] - target[s]) <= 1 for s in target)
+    words = Counter()
+    for r in mix_documents(df).collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+
+
+@pytest.mark.parametrize("docs", MORE[:3])
+def test_documents(spark, docs):
+    df = spark.createDataFrame([(*d, 1, "z", {"k": "v"}) for d in docs], "doc_id long, text string, source string, _row int, copies string, `a.b` map<string,string>")
     out = mix_documents(df)
     assert out.columns == df.columns
-    expected = Counter()
+    rows, texts = out.collect(), {}
+    for i, t, s in docs:
+        texts.setdefault((i, s), []).append(t)
+    expected, found = Counter(), Counter()
     for r in mix_table(df).collect():
-        expected[r.doc_id, r.source] += r.copies
-    assert Counter((r.doc_id, r.source) for r in out.collect()) == +expected
-
-
-def test_one_very_long_text(spark):
-    df = spark.createDataFrame([(1, "l " * 300_000, "a"), (2, "x", "b"), (3, "y", "b")], "doc_id long, text string, source string")
-    got = {r.doc_id: (r.size, r.target, r.taken) for r in mix_table(df).collect()}
-    assert got == {1: (300_000, 299_996.0, 0), 2: (1, 6.0, 3), 3: (1, 6.0, 3)}
+        expected[r.doc_id, r.source] += r.taken
+    for r in rows:
+        found[r.doc_id, r.source] += len(WORD.findall(r.text or ""))
+        assert r["a.b"] == {"k": "v"} and any((t or "").startswith(r.text or "") for t in texts[r.doc_id, r.source])
+    assert +found == +expected
+    # The mix is in the order of finish times: every source is served at its rate all along.
+    half, total = Counter(), Counter()
+    for k, r in enumerate(rows):
+        total[r.source] += len(WORD.findall(r.text or ""))
+        if 2 * k < len(rows):
+            half[r.source] += len(WORD.findall(r.text or ""))
+    if docs is DOCS:
+        assert all(abs(half[s] / sum(half.values()) - total[s] / sum(total.values())) < 0.1 for s in total)
 
 
 def test_empty(spark):
@@ -70,3 +133,4 @@ def test_empty(spark):
     assert mix_table(df).collect() == [] and mix_documents(df).collect() == []
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.taken, r.target) for r in mix_table(blank).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
+    assert mix_documents(blank).collect() == []
