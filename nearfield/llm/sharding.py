@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation of global row numbers.
 
 Every document gets a global row number, its rank by (hash of doc_id, size and
-checksum). A balanced Feistel network over the smallest even number of bits that
+checksum); equal ones are numbered in a row, EQUAL_ROWS at a time. A balanced Feistel network over the smallest even number of bits that
 holds n, walked along its cycle until the value is below n, permutes 0..n-1.
 Position p of the permutation belongs to shard p mod S and slot p div S, so
 shard sizes differ by one row at most, slots have no gaps, and either direction
@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import running_sum, wrapped
+from nearfield.llm.common import materialize, row_hash, running_sum, wrapped
 
 ROUNDS = 6
+ORDER = ["doc_id", "text_crc32", "size"]
+EQUAL_ROWS = 10_000  # equal rows that are numbered in one place
 ROWS_PER_BUCKET, LEAST_BUCKETS = 50_000, 64
 
 
@@ -67,38 +69,52 @@ def unpermute(p: np.ndarray, n: int, seed: int) -> np.ndarray:
     return _walk(p, n, seed, back=True)
 
 
-def row_numbers(df: DataFrame, rows: int, order: list[str], out: str) -> DataFrame:
-    """Add `out`, 0..rows-1 in the order of a hash of `order`, then `order`.
-    It depends on the rows alone, not on how they are partitioned."""
-    buckets = max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
-    hashed = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.pmod("_h", F.lit(buckets))).withColumn("_one", F.lit(1))
-    return running_sum(hashed, [], "_b", ["_h", *order], "_one", "_upto").withColumn(out, F.col("_upto") - 1).drop("_h", "_b", "_one", "_upto")
+def places(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """df (columns `order`) -> (order, _part, _n, _first): _n equal rows of df are
+    numbered from _first on; and the number of all rows. Numbers go up in the
+    order of a hash of `order`, then `order`: they depend on the rows alone, not on
+    how they are partitioned. Equal rows are counted map-side; more than
+    EQUAL_ROWS of them are dealt out over several places."""
+    counted, _ = materialize(df.groupBy(*order).agg(F.count("*").alias("_n")), "rows")
+    n, parts = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("_n") / EQUAL_ROWS)), F.lit(0))).first()
+    buckets = max(LEAST_BUCKETS, -(-parts // ROWS_PER_BUCKET))
+    dealt = counted.select("*", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / EQUAL_ROWS).cast("int"))).alias("_part")).withColumn("_n", F.least(F.col("_n") - F.col("_part") * EQUAL_ROWS, F.lit(EQUAL_ROWS)))
+    hashed = dealt.withColumn("_h", F.xxhash64(*order, "_part")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    summed = running_sum(hashed, [], "_b", ["_h", *order, "_part"], "_n", "_upto")
+    return summed.select(*order, "_part", "_n", (F.col("_upto") - F.col("_n")).alias("_first")), n
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
-    """docs with size, text_crc32, row_no, shard and slot, under law `rows`."""
-    own = ["size", "text_crc32", "row_no", "shard", "slot"]
-    known = wrapped(docs.select(*(c for c in docs.columns if c not in own))).select(
-        "_doc", "_doc.doc_id", (F.octet_length(F.coalesce("_doc.text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("_doc.text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    return _place(known, docs.count(), shards, seed).select("_doc.*", *own)
-
-
-def _place(known: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
+    """docs with size, text_crc32, row_no, shard and slot, under law `rows`. Rows
+    are numbered by a hash of all columns; equal rows are shuffled as one."""
+    own, key = ["size", "text_crc32", "row_no", "shard", "slot"], ["_null", "_id", "_size", "_crc", "_row"]
+    keyed = lambda df: df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_size": F.col("size"), "_crc": F.col("text_crc32")})
+    whole = wrapped(docs).withColumn("_row", row_hash(docs))
+    kept = whole.select(F.struct(*(F.col(f"_doc.`{c}`") for c in docs.columns if c not in own)).alias("_doc"), "_doc.doc_id", "_doc.text", "_row").select("_doc", "doc_id", "_row", *_measures())
+    placed, n = places(kept.select("_row", *ORDER), [*ORDER, "_row"])
+    ranges = keyed(placed).groupBy(*key).agg(F.collect_list(F.struct("_first", "_n")).alias("_ranges"))
+    one = keyed(kept).groupBy(*key).agg(F.first("_doc").alias("_doc"))
+    each = one.join(ranges, key).select("_doc", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.explode("_ranges").alias("_p"))
+    numbered = each.select("_doc", "size", "text_crc32", F.explode(F.sequence("_p._first", F.col("_p._first") + F.col("_p._n") - 1)).alias("row_no"))
+    return _shards(numbered, n, shards, seed).select("_doc.*", *own)
+
+
+def _measures() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
+def _shards(numbered: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
     @F.pandas_udf("long")
     def position(x: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n, seed))
 
-    placed = row_numbers(known, n, ["doc_id", "text_crc32", "size"], "row_no").withColumn("_p", position("row_no"))
-    return placed.withColumns({"shard": F.pmod("_p", F.lit(shards)).cast("int"), "slot": F.expr(f"_p div {shards}")}).drop("_p")
+    placed = numbered.withColumn("_at", position("row_no"))
+    return placed.withColumns({"shard": F.pmod("_at", F.lit(shards)).cast("int"), "slot": F.expr(f"_at div {shards}")}).drop("_at")
 
 
 def shard_table(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """The placement without texts: only narrow rows are shuffled."""
-    narrow = docs.select(
-        "doc_id",
-        (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    placed = _place(narrow, docs.count(), shards, seed)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+    placed, n = places(docs.select("doc_id", *_measures()), ORDER)
+    each = placed.select(*ORDER, F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("row_no"))
+    return _shards(each, n, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")

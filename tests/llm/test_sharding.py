@@ -32,6 +32,19 @@ def test_table(spark):
     assert set(full.columns) == {"doc_id", "text", "_p", "size", "text_crc32", "row_no", "shard", "slot"} and full.count() == len(rows)
 
 
+def test_equal_rows_and_odd_columns(spark, monkeypatch):
+    """Equal rows get places of their own, split over several buckets; columns may hold dots and maps."""
+    monkeypatch.setattr("nearfield.llm.sharding.EQUAL_ROWS", 7)
+    rows = [(1, "same", {"k": i}) for i in range(100)] + [(i, f"t{i}", {}) for i in range(50)] + [(None, None, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>").repartition(5)
+    full = shard_documents(df)
+    assert full.columns == ["doc_id", "text", "a.b", "size", "text_crc32", "row_no", "shard", "slot"]
+    got = full.collect()
+    assert sorted(r.row_no for r in got) == list(range(len(rows)))
+    assert sorted(repr(tuple(r)[:3]) for r in got) == sorted(map(repr, rows))
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shard_table(df).collect() == [] and shard_documents(df).collect() == []
