@@ -1,7 +1,8 @@
 """Connected components in DataFrame operations only: alternating large-star
 and small-star steps until the edges stand still. Every step sends a node's
-neighbours to the least of them; the least is an aggregate, combined map-side,
-and the joins are plain equi-joins, whose hot nodes Spark can split."""
+neighbours to the least of them. The least is an aggregate, combined map-side and
+written, so that the joins are plain equi-joins of written tables: AQE can split
+the rows of a node with very many neighbours."""
 
 from __future__ import annotations
 
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import drop_path, materialize
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with u > v."""
+def _star(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One large-star and one small-star step over edges (u, v) with u > v; and
+    the paths of the tables that it reads."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least, at_least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    large, at_large = materialize(large, "large")
+    low, at_low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
     small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+    return small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), [at_least, at_large, at_low]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        table, new = materialize(_star(table), "edges")
-        drop_path(table.sparkSession, path)
+        step, read = _star(table)
+        table, new = materialize(step, "edges")
+        drop_path(table.sparkSession, path, *read)
         path = new
     return table.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(table.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

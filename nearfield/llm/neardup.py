@@ -2,7 +2,7 @@
 
 1. A document's set is its distinct 5-word shingles (with fewer words the whole
    sequence is one), as 64-bit hashes. Documents of equal sets form a class,
-   found by hashes of the whole set; only its least doc_id goes on.
+   numbered by a 64-bit hash of the whole set; one text of it goes on.
 2. SuperMinHash: every element ranks the M slots by its own random permutation,
    level by level; a slot keeps its least (level, fraction). A document stops as
    soon as no later level can lower any slot. BANDS bands of ROWS slots: a pair
@@ -10,34 +10,46 @@
 3. Every bucket is tied to its least member (a row per member, never per pair);
    connected components of these ties are coarse clusters, which hold every
    linked pair.
-4. Full sets of a cluster meet once: in one task, or, in a cluster of more than
-   CHUNK members, in one task per pair of chunks. There pairs whose signatures
+4. Full sets of a cluster meet once, in one task. There pairs whose signatures
    leave a link possible are tried, likest first, on the full sets, unless they
    are joined already (union-find); only the edges that join something leave the
-   task.
+   task. A cluster of more than CHUNK members is first taken apart in rounds by
+   leaders: each member is measured against up to LEADERS of its cluster that are
+   far from each other, and goes to the cell of the nearest, and of each other
+   one that the triangle inequality (the Jaccard distance is a metric) leaves a
+   link to. What is linked to a cell's leader needs no further pair but with
+   members that aren't, and only within the band of distances in which a link is
+   possible; the rest are the clusters of the next round. So a group of near
+   copies costs a row each. What rounds don't make smaller meets in one task for
+   each pair of its chunks.
 5. Connected components of those edges are the groups.
 
-Defined cases: null or wordless texts have an empty set and link with nothing;
-documents of null doc_id link with nothing and are kept; rows that repeat a
-doc_id link through it like any others; an empty table gives an empty result;
-extra columns are ignored.
+Defined cases: null or wordless texts have an empty set and link with nothing; a
+null doc_id links like others, but is no component_id (without any in reach, it
+is null and the row is kept); rows that repeat a doc_id are one document, linked
+with all that any of its texts is linked with; an empty table gives an empty
+result; extra columns are ignored. `one_of_each` takes rows for themselves:
+different texts that share a doc_id stay, unless they are near-duplicates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import drop_path, materialize, tidy, wrapped
+from nearfield.llm.common import drop_path, materialize, row_hash, tidy, wrapped
 from nearfield.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 36, 6
 M = BANDS * ROWS
+KEYS = [f"k{i}" for i in range(BANDS)]
 CHUNK, CHUNK_SHINGLES = 800, 3_000_000  # members, and shingles, that one side of a task holds
 BROADCAST_ROWS = 1_000_000  # ids of cluster members that are sent to every executor; beyond it the join shuffles
+LEADERS, LEADER_BYTES, ROUNDS = 16, 32_000_000, 8  # leaders of a cluster in a round, the bytes of their sets, and rounds
+PROGRESS = 0.9  # a round that leaves more of its rows open is the last
 LARGE_GROUP = 8_000_000  # bytes of a task's sets after which memory is given back
 MARGIN = 0.20  # signatures' agreement may be so far below the threshold: over 6 standard deviations of M slots
 
@@ -149,37 +161,93 @@ def _batches(texts, limit: int = 100_000):
         yield group
 
 
+def class_of(s: np.ndarray) -> int:
+    """A number for a set: two sums over its elements and its size, mixed."""
+    both = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _STEP).sum(dtype=np.uint64)])
+    return int(mix(mix(both[:1]) + both[1:] * _STEP + U(len(s))).view(np.int64)[0])
+
+
 def _sign(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Rows (doc_id, row, text) -> doc_id, row, n, class and band keys."""
+    names = ["doc_id", "row", "n", "c", *KEYS]
     with np.errstate(over="ignore"):
         for batch in batches:
             at = 0
-            for sets in _batches(x.as_py() for x in batch.column(1)):
-                full = [s for s in sets if len(s)]
-                keys = iter(bands(super_minhash(full)) if full else [])
+            for sets in _batches(x.as_py() for x in batch.column(2)):
+                full = np.flatnonzero([len(s) > 0 for s in sets])
+                keys = np.zeros((len(sets), BANDS), np.int64)
+                if len(full):
+                    keys[full] = bands(super_minhash([sets[i] for i in full]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([int(mix(s ^ _STEP).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                ], schema=schema)
+                    batch.column(0).slice(at, len(sets)).cast(pa.int64()), batch.column(1).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(keys[:, i]) for i in range(BANDS)),
+                ], names=names)
                 at += len(sets)
     tidy()
 
 
 def _sets(batches):
-    """Rows (root, chunks, chunk, id, text) -> the same with set and signature."""
-    schema = pa.schema([("root", pa.int64()), ("chunks", pa.int32()), ("chunk", pa.int32()), ("id", pa.int64()), ("shingles", pa.binary()), ("sig", pa.binary())])
+    """Rows (root, c, text) -> (root, c, shingles, sig)."""
+    names = ["root", "c", "shingles", "sig"]
     with np.errstate(over="ignore"):
         for batch in batches:
             at = 0
-            for sets in _batches(x.as_py() for x in batch.column(4)):
+            for sets in _batches(x.as_py() for x in batch.column(2)):
                 sigs = short(super_minhash(sets))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(sets)) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(sets)) for i in range(2)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=names)
                 at += len(sets)
     tidy()
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 1 - both / (len(a) + len(b) - both)
+
+
+def _lead(reach: float):
+    """Candidates of a cluster -> those that lead: each over twice a link's
+    distance from those before it."""
+
+    def lead(table: pa.Table) -> pa.Table:
+        kept: list[tuple[int, np.ndarray]] = []
+        for c, data in sorted(zip(table.column("c").to_pylist(), table.column("shingles").to_pylist(), strict=True)):
+            s = np.frombuffer(data, np.uint64)
+            if not kept or all(distance(s, k) > 2 * reach for _, k in kept) and sum(k.nbytes for _, k in kept) + s.nbytes <= LEADER_BYTES:
+                kept.append((c, s))
+        return pa.table({"root": table.column("root").slice(0, 1).take([0] * len(kept)), "c": [c for c, _ in kept], "shingles": [s.tobytes() for _, s in kept]})
+
+    return lead
+
+
+def cells(d: np.ndarray, reach: float) -> np.ndarray:
+    """The leaders whose cells a member of these distances goes to."""
+    return np.flatnonzero(d <= d.min() + 2 * reach + 1e-9)
+
+
+def _assign(reach: float):
+    """Rows (root, salt, member, c, shingles), the leaders of each (root, salt)
+    before its members -> (root, leader, c, d) for each cell of a member."""
+
+    def assign(batches):
+        held, leaders = None, []
+        for batch in batches:
+            out: list[tuple[int, int, int, float]] = []
+            for root, salt, member, c, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                if (root, salt) != held:
+                    held, leaders = (root, salt), []
+                if not member:
+                    leaders.append((c, s))
+                    continue
+                d = np.array([distance(s, k) for _, k in leaders])
+                out += [(root, leaders[j][0], c, d[j]) for j in cells(d, reach)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["root", "leader", "c", "d"])
+        tidy()
+
+    return assign
+
+
 def link(ids: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows; with `side`, only between
     rows of different sides."""
@@ -221,16 +289,15 @@ def link(ids: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, side: np.ndar
 def _verify(percent: int):
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("id").to_numpy()
-        rows = np.unique(ids, return_index=True)[1]
+        ids = table.column("c").to_numpy()
         views = {}
         for name, kind in (("shingles", np.uint64), ("sig", np.uint8)):
             column = table.column(name).chunk(0)
             edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
             data = column.buffers()[2]
-            views[name] = [np.frombuffer(data, kind, (edge[i + 1] - edge[i]) // np.dtype(kind).itemsize, edge[i]) for i in rows]
-        side = table.column("chunk").to_numpy()[rows] if table.column("a")[0].as_py() != table.column("b")[0].as_py() else None
-        found = np.array(link(ids[rows], views["shingles"], np.stack(views["sig"]), side, percent), np.int64).reshape(-1, 2)
+            views[name] = [np.frombuffer(data, kind, (edge[i + 1] - edge[i]) // np.dtype(kind).itemsize, edge[i]) for i in range(len(ids))]
+        side = table.column("chunk").to_numpy() if table.column("a")[0].as_py() != table.column("b")[0].as_py() else None
+        found = np.array(link(ids, views["shingles"], np.stack(views["sig"]), side, percent), np.int64).reshape(-1, 2)
         if table.nbytes > LARGE_GROUP:
             del table, views
             tidy()
@@ -239,42 +306,105 @@ def _verify(percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of docs."""
+def _pairs(state: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) within clusters: one task for each pair of chunks."""
+    dealt = state.join(sizes.select("root", "chunks"), "root").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_o"))
+    met = met.select("root", F.least("chunk", "_o").alias("a"), F.greatest("chunk", "_o").alias("b"), "chunk", "c", "shingles", "sig")
+    return met.groupBy("root", "a", "b").applyInArrow(_verify(percent), "a long, b long")
+
+
+def links(state: DataFrame, path: str, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked within the clusters of state
+    (root, c, shingles, sig), a written table at `path`."""
+    spark, reach, found = state.sparkSession, 1 - percent / 100, []
+    for number in range(ROUNDS + 1):
+        sizes = state.groupBy("root").agg(F.count("*").alias("_n"), F.sum(F.octet_length("shingles") / 8).alias("_s"))
+        sizes, _ = materialize(sizes.select("root", "_n", F.ceil(F.greatest(F.col("_n") / CHUNK, F.col("_s") / CHUNK_SHINGLES)).cast("int").alias("chunks")), "sizes")
+        big = sizes.where("chunks > 1")
+        rows = big.agg(F.sum("_n")).first()[0]
+        if not rows or number == ROUNDS:
+            found.append(materialize(_pairs(state, sizes, percent), "links")[0])
+            break
+        first = Window.partitionBy("root").orderBy(F.xxhash64("c", F.lit(number)), "c")
+        some = state.select("root", "c").join(big.select("root"), "root", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= LEADERS)
+        leaders = state.select("root", "c", "shingles").join(some.select("root", "c"), ["root", "c"], "left_semi").groupBy("root").applyInArrow(_lead(reach), "root long, c long, shingles binary")
+        # Members are dealt out in chunks; each chunk gets the leaders, before its members.
+        wide = big.select("root", "chunks")
+        members = state.select("root", "c", "shingles").join(wide, "root").select("root", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("salt"), F.lit(1).alias("member"), "c", "shingles")
+        before = leaders.join(wide, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(0).alias("member"), "c", "shingles")
+        met = before.unionAll(members).repartition("root", "salt").sortWithinPartitions("root", "salt", "member")
+        at, _ = materialize(met.mapInArrow(_assign(reach), "root long, leader long, c long, d double"), "cells")
+        linked = F.col("d") <= reach + 1e-9
+        # The nearest member that isn't linked to the cell's leader tells which linked ones it may be linked with.
+        open_cells, _ = materialize(at.groupBy("root", "leader").agg(F.min(F.when(~linked, F.col("d"))).alias("_least")).where("_least IS NOT NULL"), "open")
+        left = at.join(open_cells, ["root", "leader"]).where(~linked | (F.col("d") >= F.col("_least") - reach - 1e-9))
+        left, at_left = materialize(left.select(F.xxhash64("root", "leader").alias("_cell"), "root", "c"), "left")
+        if left.count() > PROGRESS * rows:
+            found.append(materialize(_pairs(state, sizes, percent), "links")[0])
+            break
+        # Distances are of full sets: a member that is within reach is linked.
+        found.append(at.where(linked & (F.col("c") != F.col("leader"))).select(F.col("c").alias("a"), F.col("leader").alias("b")))
+        found.append(materialize(_pairs(state.join(big.select("root"), "root", "left_anti"), sizes, percent), "links")[0])
+        state, new = materialize(left.join(state, ["root", "c"]).select(F.col("_cell").alias("root"), "c", "shingles", "sig"), "state")
+        drop_path(spark, path, at_left)
+        path = new
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _groups(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """signed: doc_id, row (a hash of both), n and c of every row of docs; and
+    the groups of classes, (c, group, id): the least class and doc_id in reach.
+    by_id: rows of one doc_id are one document."""
     spark = docs.sparkSession
-    signed, _ = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signatures")
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
+    row = F.xxhash64("doc_id", "text")
+    keys = ", ".join(f"{k} long" for k in KEYS)
+    signed, _ = materialize(docs.select("doc_id", row.alias("row"), "text").mapInArrow(_sign, f"doc_id long, row long, n long, c long, {keys}"), "signatures")
+    classes = signed.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), *(F.first(k).alias(k) for k in KEYS))
     classes, _ = materialize(classes, "classes")
-    buckets = signed.select(F.col("doc_id").alias("id"), "h1", "h2", "n", "keys").join(classes, ["id", "h1", "h2", "n"]).select("id", F.explode("keys").alias("key"))
-    buckets, at_buckets = materialize(buckets, "buckets")
-    leads = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    ties = buckets.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    buckets, at_buckets = materialize(classes.select("c", F.explode(F.array(*KEYS)).alias("key")), "buckets")
+    leads, _ = materialize(buckets.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "leads")
+    ties = buckets.join(leads, "key").where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     coarse, _ = materialize(components(ties), "clusters")
     drop_path(spark, at_buckets)
-    weighed = coarse.join(classes.select("id", "n"), F.col("node") == F.col("id"))
-    sizes = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    members = coarse.join(sizes, "root").select("root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.col("node").alias("id"))
+    members = coarse.join(classes.select("c", "row"), F.col("node") == F.col("c")).select("root", "c", F.col("row").alias("_row"))
     members = F.broadcast(members) if coarse.count() <= BROADCAST_ROWS else members
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("id")).select("root", "chunks", "chunk", "id", "text")
-    texts = texts.where("text IS NOT NULL")
-    held = texts.mapInArrow(_sets, "root long, chunks int, chunk int, id long, shingles binary, sig binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_o")
-    met = held.select("*", other).select("root", F.least("chunk", "_o").alias("a"), F.greatest("chunk", "_o").alias("b"), "chunk", "id", "shingles", "sig")
-    edges = met.groupBy("root", "a", "b").applyInArrow(_verify(percent), "a long, b long")
-    groups = components(edges)
-    known = classes.join(groups, F.col("id") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("_n"), F.coalesce("root", "id").alias("_root"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(known.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    texts = docs.where("text IS NOT NULL").select(row.alias("row"), "text").join(members, F.col("row") == F.col("_row"))
+    texts = texts.groupBy("c").agg(F.first("root").alias("root"), F.first("text").alias("text"))  # rows that repeat each other count once
+    held, path = materialize(texts.select("root", "c", "text").mapInArrow(_sets, "root long, c long, shingles binary, sig binary"), "sets")
+    edges = links(held, path, percent)
+    if by_id:
+        own = signed.where("doc_id IS NOT NULL AND c IS NOT NULL").select("doc_id", "c")
+        several, _ = materialize(own.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("_max")).where("b <> _max").select("doc_id", "b"), "several")
+        edges = edges.unionAll(own.join(several, "doc_id").where("c <> b").select(F.col("c").alias("a"), "b"))
+    groups = classes.select("c", "id").join(components(edges), F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("root", "c").alias("group"))
+    groups, _ = materialize(groups, "groups")
+    least, _ = materialize(groups.groupBy("group").agg(F.min("id").alias("id")), "least")
+    return signed.select("doc_id", "row", "n", "c"), materialize(groups.select("c", "group").join(least, "group"), "known")[0]
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per row of docs."""
+    signed, known = _groups(docs, percent, by_id=True)
+    out = signed.join(known.withColumnRenamed("c", "_c"), F.col("c") == F.col("_c"), "left")
+    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are kept, one for each doc_id, with their columns."""
-    found = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count("*").alias("_rows"))
-    gone, _ = materialize(found.where("_kept = 0 OR _rows > 1").select("_id", "_kept"), "gone")
-    keyed = wrapped(docs).select("_doc", F.col("_doc.doc_id").alias("_key"))
-    rest = keyed.join(gone.select("_id"), F.col("_key") == F.col("_id"), "left_anti")
-    # Of rows that repeat a kept doc_id, the one of the least text hash stays, the same in each run.
-    again = keyed.join(gone.where("_kept = 1").select("_id"), F.col("_key") == F.col("_id"), "left_semi")
-    one = again.groupBy("_key").agg(F.min_by("_doc", F.xxhash64("_doc.text")).alias("_doc"))
+    """One row of each group of near-duplicate rows, with its columns: that of
+    the least doc_id (null last), then of the least hash. Rows without words stay."""
+    signed, known = _groups(docs, percent, by_id=False)
+    rows = signed.where("c IS NOT NULL").groupBy("row", "c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")).join(known, "c")
+    best = rows.where(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("group").agg(F.min("row").alias("_best"))
+    judged, _ = materialize(rows.join(best, "group").select("row", "_n", (F.col("row") == F.col("_best")).alias("_kept")), "judged")
+    gone, _ = materialize(judged.where("NOT _kept OR _n > 1").select(F.col("row").alias("_row"), "_kept"), "gone")
+    keyed = wrapped(docs).select("_doc", F.xxhash64("_doc.doc_id", "_doc.text").alias("_key"))
+    rest = keyed.join(gone.select("_row"), F.col("_key") == F.col("_row"), "left_anti")
+    # Of rows that repeat a kept one, that of the least hash of all columns stays, the same in each run.
+    again = keyed.withColumn("_all", row_hash(docs)).join(gone.where("_kept").select("_row"), F.col("_key") == F.col("_row"), "left_semi")
+    one = again.groupBy("_key").agg(F.min_by("_doc", "_all").alias("_doc"))
     return rest.select("_doc").unionByName(one.select("_doc")).select("_doc.*")

@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from nearfield.llm import neardup
 from nearfield.llm.neardup import M, near_duplicates, one_of_each, super_minhash
 
 
@@ -65,12 +67,61 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute(rows).items() if i == c)
 
 
+def balls(rng, n):
+    """Near copies of two templates, some so far from them that only a chain links them, and others between."""
+    rows = []
+    for size in (60, 90):
+        base = [f"{size}t{j}" for j in range(size)]
+        for _ in range(n):
+            w, at = list(base), rng.randrange(size)
+            for k in range(rng.choice([0, 1, 1, 2, 3, 4, 9])):
+                w[(at + k) % size] = f"x{rng.randrange(30)}"
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_rounds_of_leaders(spark, monkeypatch):
+    """Large clusters are taken apart in rounds; no link is lost, and copies aren't paired."""
+    rows = balls(random.Random(2), 300)
+    monkeypatch.setattr(neardup, "CHUNK", 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == expected
+    for progress in (0.0, 2.0):  # never, and always, another round
+        monkeypatch.setattr(neardup, "PROGRESS", progress)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == expected
+
+
+def test_many_different_copies_cost_a_row_each(spark, monkeypatch):
+    """A group of near copies of one template: rounds leave little of it for pairs."""
+    base = [f"t{j}" for j in range(200)]
+    rows = [(i, " ".join(base[: i % 200] + [f"x{i}"] + base[i % 200 + 1 :])) for i in range(3000)]
+    met, real = [], neardup._pairs
+    monkeypatch.setattr(neardup, "CHUNK", 100)
+    monkeypatch.setattr(neardup, "_pairs", lambda state, *rest: met.append(state.count()) or real(state, *rest))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(met) < len(rows)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """They are one document for the links, two rows for the choice of one of each."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, "other words of a text by itself"), (5, "quite other words of a text"), (None, a + " more"), (None, a + " more"), (None, "no one else has this text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for d in (df, df.repartition(5), df.orderBy(F.desc("text"))):
+        got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(d).collect())
+        assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (5, 5, True), (None, 1, False), (None, 1, False), (None, None, True)])
+        kept = sorted(map(tuple, one_of_each(d).collect()), key=repr)
+        assert kept == sorted([rows[0], rows[1], rows[4], rows[5], rows[8]], key=repr)
+
+
 def test_defined_cases(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, None), (3, ""), (4, "A b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
-    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (None, 0, None, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False)])
-    assert sorted((str(r.doc_id) for r in one_of_each(df).collect())) == ["1", "2", "3", "None", "None"]
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False)])
+    assert sorted((str(r.doc_id) for r in one_of_each(df).collect())) == ["1", "2", "3", "None"]
     assert near_duplicates(df.limit(0)).collect() == [] and one_of_each(df.limit(0)).collect() == []
 
 
