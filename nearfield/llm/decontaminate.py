@@ -1,12 +1,20 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Words are the maximal runs outside ASCII punctuation, space and control
-characters, after lower-casing A-Z. An item's windows are its runs of 13 words
-(an item of fewer words is one window). Winnowing: of every window's k-grams the
-least hash is its fingerprint. Equal windows have equal fingerprints, so joining
-the fingerprints of the corpus with those of the items finds every shared window.
-A bit map of the items' fingerprints first drops most windows that share none;
-each hit is then extended to its whole window, compared word by word.
+characters, after lower-casing A-Z; they are compared by 64-bit hashes. An item's
+windows are its runs of 13 words (an item of fewer words is one window).
+Winnowing: of every window's 7-grams the least hash is its fingerprint, and only
+the places of fingerprints are kept, each once. Equal windows have equal
+fingerprints, so every shared window holds a place of the corpus and one of an
+item that join. Each joined pair is then extended word by word to both sides, as
+far as windows that hold the place can reach: where the common run is as long as
+the item's window, all of it is hit. For items of 7 to 12 words the window
+narrows to theirs; shorter ones are one gram themselves.
+
+A bit map of the items' fingerprints spares the corpus most rows before the join.
+A fingerprint that more than HOT different surroundings in items share is joined
+with the whole window instead, so that a frequent phrase never pairs each of its
+occurrences with each item. One pass over the texts finds all.
 
 Defined cases: null or wordless texts have no words and no hits; a null item_id
 makes hits but isn't listed; repeated items count once; repeated documents each
@@ -25,7 +33,8 @@ from nearfield.llm.common import ascii_lower, materialize, wrapped
 WINDOW, GRAM = 13, 7
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIEVE_WORDS = 1 << 14  # 64-bit numbers in the bit map of fingerprints
-BROADCAST_ROWS = 1_000_000  # rows of item windows that are sent to every executor; beyond it the join shuffles
+HOT = 64  # surroundings of a fingerprint that are joined by it alone
+BROADCAST_ROWS = 1_000_000  # rows of item fingerprints that are sent to every executor; beyond it the join shuffles
 
 
 def _words(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,28 +49,32 @@ def _runs_of(df: DataFrame, keep: list[str], column: str, n: int, how: str) -> D
     width = 1
     while width < n:
         by = min(width, n - width)
-        step = f"zip_with(slice({column}, 1, size({column}) - {by}), slice({column}, {1 + by}, size({column}) - {by}), (x, y) -> {how})"
+        rest = f"greatest(size({column}) - {by}, 0)"
+        step = f"zip_with(slice({column}, 1, {rest}), slice({column}, {1 + by}, {rest}), (x, y) -> {how})"
         df, width = df.select(*keep, F.expr(step).alias(column)), width + by
     return df
 
 
-def _minima(df: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """keys, hs, _m: the fingerprint of each window of `span` words."""
-    k = min(GRAM, span)
-    d = df.where(F.col("n_words") >= span).select(*keys, "hs", F.col("hs").alias("_m"))
-    d = _runs_of(d, [*keys, "hs"], "_m", k, "xxhash64(x, y)")
-    return _runs_of(d, [*keys, "hs"], "_m", span - k + 1, "least(x, y)")
-
-
-def _windows(minima: DataFrame, keys: list[str], span: int, sieve: Column | None = None) -> DataFrame:
-    """Rows (keys, print, at, win): fingerprint, place and words of each window.
-    A sieve lets through only windows whose fingerprint's bit it holds."""
-    d = minima
-    at = "sequence(1, size(_m))"
+def _places(df: DataFrame, keep: list[str], grams: dict[int, int], window: int, sieve: Column | None = None) -> DataFrame:
+    """Rows (keep, pos, k, print, at, before, mid, after) of the fingerprints:
+    for each k in grams those of all runs of grams[k] k-grams. before and after:
+    the words on both sides, nearest first, as far as a window can reach. Rows
+    without any keep one row; pos counts the places of a row from 0."""
+    d, found = df.select(*keep, "hs"), []
+    for k, run in grams.items():
+        g, reach = f"_g{k}", max(0, window - k) if k == min(GRAM, window) else 0
+        have = [*keep, "hs", *(f"_g{j}" for j in grams if j < k)]
+        d = _runs_of(d.withColumn(g, F.col("hs")), have, g, k, "xxhash64(x, y)")
+        last = f"(size({g}) - {run - 1})"
+        # A gram is a fingerprint if it is the least of some run of grams that it is in.
+        chosen = f"exists(sequence(greatest(1, i - {run - 1}), least(i, {last})), j -> {g}[i - 1] = array_min(slice({g}, j, {run})))" if run > 1 else "true"
+        bit = f"shiftright(_sieve[int(shiftright({g}[i - 1], 6) & {SIEVE_WORDS - 1})], int({g}[i - 1] & 63)) & 1 = 1 AND " if sieve is not None else ""
+        at = f"CASE WHEN {last} > 0 THEN filter(sequence(1, size({g})), i -> {bit}{chosen}) ELSE array() END"
+        row = f"struct({k} AS k, {g}[i - 1] AS print, i AS at, reverse(slice(hs, greatest(1, i - {reach}), least(i - 1, {reach}))) AS before, slice(hs, i, {k}) AS mid, slice(hs, i + {k}, {reach}) AS after)"
+        found.append(f"transform({at}, i -> {row})")
     if sieve is not None:
         d = d.withColumn("_sieve", sieve)
-        at = f"filter({at}, i -> shiftright(_sieve[int(shiftright(_m[i - 1], 6) & {SIEVE_WORDS - 1})], int(_m[i - 1] & 63)) & 1 = 1)"
-    return d.select(*keys, F.expr(f"inline(transform({at}, i -> struct(_m[i - 1] AS print, i AS at, slice(hs, i, {span}) AS win)))"))
+    return d.select(*keep, F.expr(f"posexplode_outer(concat({', '.join(found)}))").alias("pos", "_p")).select(*keep, "pos", "_p.*")
 
 
 def _sieve(prints: DataFrame) -> Column:
@@ -75,20 +88,59 @@ def _sized(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small.hint("merge")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """Rows (keys, at, span, items): document words at..at+span-1 equal a
-    window of these items. docs and benchmark as from `_words`."""
-    items = benchmark.where("n_words > 0").withColumn("span", F.least("n_words", F.lit(window)).cast("int")).distinct()
-    found = None
-    for (span,) in items.select("span").distinct().sort("span").collect():  # at most `window` numbers
-        own = _windows(_minima(items.where(F.col("span") == span), ["item_id"], span), ["item_id"], span)
-        own = own.groupBy("print", "win").agg(F.collect_set("item_id").alias("items"))
-        rows = own.count()
-        # Fingerprints are joined first, and each hit is extended to the whole window, word by word.
-        hits = _windows(_minima(docs, keys, span), keys, span, _sieve(own))
-        hit = hits.join(_sized(own, rows), ["print", "win"]).select(*keys, "at", F.lit(span).alias("span"), "items")
-        found = hit if found is None else found.unionAll(hit)
-    return found
+def _common(a: str, b: str) -> Column:
+    """How many words two arrays begin with in common."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    other = F.array_position(same, False)
+    return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
+
+
+def _whole(places: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (keep, k, print, span, off, win): the windows of `span` words around
+    each place, `off` words of them before it."""
+    d = places.select("*", F.explode(F.sequence(F.lit(0), F.col("span") - F.col("k"))).alias("off"))
+    more = F.col("span") - F.col("k") - F.col("off")
+    d = d.where((F.size("before") >= F.col("off")) & (F.size("after") >= more))
+    return d.select(*keep, "k", "print", "span", "off", F.concat(F.reverse(F.slice("before", F.lit(1), F.col("off"))), "mid", F.slice("after", F.lit(1), more)).alias("win"))
+
+
+def _grams(lengths: list[int], window: int) -> dict[int, int]:
+    """k -> the number of k-grams in the shortest window that k serves."""
+    gram, grams = min(GRAM, window), {}
+    for n in sorted(lengths):
+        grams.setdefault(min(gram, n), n - min(gram, n) + 1)
+    return grams
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW) -> tuple[DataFrame, DataFrame | None]:
+    """docs and benchmark as from `_words` -> rows (keys, n_words) for all docs;
+    and (keys, start, end, items): words start..end-1 are in windows of these
+    items (None if no item has a word)."""
+    items = benchmark.where("n_words > 0").withColumn("span", F.least("n_words", F.lit(window)).cast("int"))
+    lengths = [n for (n,) in items.select("span").distinct().collect()]  # at most `window` numbers
+    if not lengths:
+        return docs.select(*keys, "n_words"), None
+    grams = _grams(lengths, window)
+    # An item's places are those of all runs that its own window asks for, or more.
+    around = ["k", "print", "before", "mid", "after", "span"]
+    own = _places(items, ["item_id", "span"], grams, window).where(F.col("k") == F.least("span", F.lit(min(GRAM, window))))
+    own, _ = materialize(own.groupBy(*around).agg(F.collect_set("item_id").alias("items")), "fingerprints")
+    places, _ = materialize(_places(docs, [*keys, "n_words"], grams, window, _sieve(own)), "places")
+    hot = own.groupBy("k", "print").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("k", "print")
+    hot, _ = materialize(hot, "hot")
+    rows, few = own.count(), hot.count()
+    cold = own.join(_sized(hot, few), ["k", "print"], "left_anti").withColumnsRenamed({"before": "_b", "mid": "_m", "after": "_a"})
+    met = places.where("print IS NOT NULL").join(_sized(cold, rows), ["k", "print"]).where("mid = _m")
+    left, right = _common("before", "_b"), _common("after", "_a")
+    run = met.select(*keys, "k", "at", "span", "items", left.alias("_l"), right.alias("_r")).where("_l + k + _r >= span")
+    found = run.select(*keys, (F.col("at") - F.col("_l")).alias("start"), (F.col("at") + F.col("k") + F.col("_r")).alias("end"), "items")
+    if few:
+        known = _whole(own.join(_sized(hot, few), ["k", "print"], "left_semi"), ["items"])
+        known = known.groupBy("k", "print", "span", "off", "win").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        here = places.join(_sized(hot, few), ["k", "print"], "left_semi").withColumn("span", F.explode(F.array(*map(F.lit, sorted(lengths))))).where("span >= k")
+        here = _whole(here.withColumn("_at", F.col("at")), [*keys, "_at"]).join(known, ["k", "print", "span", "off", "win"])
+        found = found.unionAll(here.select(*keys, (F.col("_at") - F.col("off")).alias("start"), (F.col("_at") - F.col("off") + F.col("span")).alias("end"), "items"))
+    return places.where("coalesce(pos, 0) = 0").select(*keys, "n_words"), found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 20) -> DataFrame:
@@ -96,14 +148,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     per row of docs. Contaminated: hit words are at least 1 in `least`."""
     keys = ["doc_id", "text_hash"]
     d = _words(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keys)
-    found = matches(d, _words(benchmark.select("item_id", "text"), ["item_id"]), keys, window)
-    if found is None:  # no item has a word
-        hit = d.select(*keys, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("_items")).limit(0)
+    every, found = matches(d, _words(benchmark.select("item_id", "text"), ["item_id"]), keys, window)
+    if found is None:
+        hit = every.select(*keys, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("_items")).limit(0)
     else:
-        spans = found.groupBy(*keys).agg(F.collect_set(F.struct("at", "span")).alias("_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
-        hit = spans.select(*keys, F.expr("cast(size(array_distinct(flatten(transform(_at, x -> sequence(x.at, x.at + x.span - 1))))) AS long) AS n_hit"), F.array_sort(F.transform("_items", lambda x: x.cast("string"))).alias("_items"))
+        spans = found.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
+        # Runs in the order of their starts; each adds what lies beyond the end of those before it.
+        step = lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
+        n_hit = F.aggregate(F.array_sort("_at"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"].cast("long")
+        hit = spans.select(*keys, n_hit.alias("n_hit"), F.array_sort(F.transform("_items", lambda x: x.cast("string"))).alias("_items"))
     hit = hit.withColumnsRenamed({"doc_id": "_id", "text_hash": "_th"})
-    out = d.select(*keys, "n_words").join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left")
+    out = every.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         "doc_id", "n_words", n_hit.cast("long").alias("n_hit"),

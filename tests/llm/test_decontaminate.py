@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -52,6 +53,33 @@ def test_against_brute_force(spark):
     assert sorted(map(str, kept)) == sorted(str(d[0]) for d, row in zip(DOCS, DOCS, strict=True) if not (d[0] in bad and d[0] is not None) and d != (None, LONG))
 
 
+@pytest.mark.parametrize("hot", [64, 0, 2])
+def test_random_texts(spark, monkeypatch, hot):
+    """Texts of few different words: many fingerprints are equal, in items of all lengths."""
+    monkeypatch.setattr("nearfield.llm.decontaminate.HOT", hot)
+    rng = random.Random(4)
+    text = lambda n, top: " ".join(f"w{rng.randrange(top)}" for _ in range(n))
+    items = [(i, text(rng.choice([1, 3, 5, 6, 7, 8, 10, 12, 13, 14, 20, 40]) if i % 3 else 30, 3 if i % 2 else 40)) for i in range(60)]
+    docs = [(i, text(rng.randrange(60), 3 if i % 2 else 40)) for i in range(80)]
+    for i in range(60):
+        w = items[rng.randrange(60)][1].split()
+        at = rng.randrange(len(w))
+        docs.append((100 + i, " ".join([text(rng.randrange(9), 40), *w[at : at + rng.randrange(5, 30)], text(rng.randrange(9), 40)])))
+    for some in (items, [x for x in items if len(x[1].split()) >= 13], [x for x in items if 7 <= len(x[1].split()) < 13]):
+        got = run(decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")))
+        assert got == brute(docs, some)
+
+
+def test_fingerprints_are_thinned(spark):
+    """Of long texts about two in eight grams leave, not one for each window."""
+    from nearfield.llm.decontaminate import _places, _words
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000)))], "doc_id long, text string")
+    found = _places(_words(df, ["doc_id"]), ["doc_id"], {7: 7}, 13).select("at").collect()
+    assert 900 < len(found) < 1100 and max(b.at - a.at for a, b in zip(found, found[1:], strict=False)) <= 7
+
+
 @pytest.mark.parametrize("d, i", [([], ITEMS), (DOCS, []), (DOCS, [(1, None)]), ([], [])])
 def test_empty(spark, d, i):
     docs, items = spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(i, "item_id long, text string")
