@@ -1,23 +1,28 @@
 """Removal of repeated passages: every byte covered by a string of `length`
-bytes that also starts anywhere else.
+bytes that also starts anywhere else, by a suffix array over content-defined
+tokens.
 
 A suffix array of all suffixes takes more than 20 bytes for each byte of text, so
 suffixes are sampled: of each `length`-byte window, the sub-string of GRAM bytes
-with the least hash is its anchor. Equal windows have equal anchors at equal
-offsets, so nothing is lost, and about one suffix in 70 remains. Neighbouring
-windows with one anchor form a run, with the hash of all its bytes.
-
-1. Anchors that occur once have unique windows; their runs go.
-2. Runs that are equal in full are repeated in full. Only where different runs
-   share an anchor do they need a closer look, one copy of each.
-3. Those runs are cut into pieces of PIECE windows, grouped by the bytes that all
-   windows of a piece share, and treated alike; what is open still is cut into
-   single windows, whose bytes decide.
+with the least hash is its anchor, and neighbouring windows with one anchor form a
+run. Equal windows have equal anchors at equal offsets, so texts are cut into the
+same runs wherever they agree, but for the ends of the agreement, and suffixes
+need to be compared only where a run begins. A suffix's leading tokens are the
+hash of the run's anchor and that of all bytes of the run with what its windows
+reach; 50 bytes of text give about one suffix of 32 bytes.
+
+1. Splitters from a bounded sample range-partition the suffixes by their leading
+   tokens (and, among equal ones, by a hash of their place, so that a hot passage
+   is dealt out over many buckets). A bucket is sorted by multikey quicksort and
+   compared neighbour by neighbour; one summary row per bucket, of the tokens at
+   its ends, compares across boundaries.
+2. Suffixes with both tokens equal are repeated for the whole run. Only where
+   different runs share an anchor do they need a closer look, one copy of each.
+3. Those runs are cut into pieces of PIECE windows, whose tokens are the bytes
+   that all windows of a piece share, and all its bytes, and sorted alike; what is
+   open still is cut into single windows, whose bytes decide.
 4. The covered bytes of each document are taken out of its text.
 
-All counting is by hash, combined map-side; a hot passage is one counted row per
-task. No step gathers a group.
-
 Defined cases: null text is empty; texts shorter than `length` lose nothing; null
 doc_id is a document like others; rows that repeat each other are documents of
 their own, so their passages occur elsewhere; an empty table gives an empty
@@ -26,17 +31,19 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, tidy
+from nearfield.llm.common import drop_path, materialize, tidy
 
 LENGTH, GRAM, PIECE = 200, 64, 8
+SAMPLE_DOCS, SAMPLE_ROWS = 2_000, 200  # documents that splitters are sampled from, and sampled suffixes for each bucket
+BUCKET_ROWS = 2_000_000  # suffixes that a bucket is planned for
 BLOCK = 1 << 19  # windows handled at a time
 BROADCAST_ROWS = 1_000_000
 
@@ -142,58 +149,200 @@ def _pack(start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarra
     return start << 24 | count << 12 | offset
 
 
-def _anchors(length: int):
-    def run(batches):
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    h = runs(_bytes(batch.column(0).slice(at, 1000)), length)[4]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64))], names=["h"])
-        tidy()
+TOKENS = "part int, h long, ctx long, r long, a long, b long, c long"
+
+
+def bucket_of(splitters: list[tuple[int, int, int]], keys: list[np.ndarray]) -> np.ndarray:
+    """How many splitters are at or below each row, by all keys in order."""
+    at = np.zeros(len(keys[0]), np.int64)
+
+    def place(rows: np.ndarray, low: int, high: int, depth: int) -> None:
+        of = np.array([s[depth] for s in splitters[low:high]], np.int64)
+        own = keys[depth][rows]
+        left, right = np.searchsorted(of, own, "left") + low, np.searchsorted(of, own, "right") + low
+        at[rows] = right
+        if depth + 1 < len(keys):  # rows that tie with splitters: the next key decides
+            tie = np.flatnonzero(left < right)
+            for value in np.unique(left[tie]).tolist():
+                some = tie[left[tie] == value]
+                place(rows[some], value, int(right[some[0]]), depth + 1)
+
+    if splitters and len(at):
+        place(np.arange(len(at)), 0, len(splitters), 0)
+    return at
+
+
+def multikey(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by all keys, and how many keys each row of that
+    order has in common with the one before it. As in multikey quicksort only
+    rows that tie so far are sorted by the next key."""
+    n = len(keys[0])
+    order = np.argsort(keys[0], kind="quicksort")
+    common = np.zeros(n, np.int8)
+    if n:
+        common[1:] = keys[0][order][1:] == keys[0][order][:-1]
+    for depth, key in enumerate(keys[1:], 1):
+        tied = common == depth
+        within = np.flatnonzero(tied | np.concatenate([tied[1:], [False]]))
+        if not len(within):
+            break
+        segment = np.cumsum(~tied[within])
+        order[within] = order[within][np.lexsort((key[order[within]], segment))]
+        same = key[order[1:]] == key[order[:-1]]
+        common[1:] += (tied[1:] & same).astype(np.int8)
+    return order, common
+
+
+def _bucket(batches):
+    """A bucket's suffixes -> those that are repeated, or open (of a group h with
+    different ctx, some seen once) or at an edge of the bucket, and a note of what
+    is at the edges."""
+    names = ["r", "a", "b", "c", "same", "open", "first", "edge", "part", "note"]
+    columns = [np.concatenate(x) for x in zip(*([c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows), strict=True)]
+    if not columns:
+        return
+    part, h, ctx, *payload = columns
+    part = int(part[0])
+    order, common = multikey([h, ctx])
+    h, ctx, payload = h[order], ctx[order], [p[order] for p in payload]
+    n = len(order)
+    kind, group = np.cumsum(common < 2) - 1, np.cumsum(common < 1) - 1
+    count, of = np.bincount(kind), group[np.flatnonzero(common < 2)]  # rows of a kind, group of a kind
+    kinds = np.bincount(of)
+    once = np.bincount(of, weights=count == 1).astype(np.int64)
+    same, opened, first = count[kind] > 1, ((kinds > 1) & (once > 0))[group], common < 2
+    edge = (group == 0) | (group == group[-1]) << 1 | (kind == 0) << 2 | (kind == kind[-1]) << 3
+    at_ends = lambda g: int(once[g] - sum(count[k] == 1 for k in {0, len(count) - 1} if of[k] == g))
+    note = {
+        "part": part, "first": [int(h[0]), int(ctx[0])], "last": [int(h[-1]), int(ctx[-1])], "kinds": len(count), "groups": len(kinds),
+        "rows": [int(count[0]), int(count[-1])], "many": [bool(kinds[0] > 1), bool(kinds[-1] > 1)], "once": [at_ends(0) > 0, at_ends(len(kinds) - 1) > 0],
+    }
+    keep = np.flatnonzero(same | opened | (edge > 0))
+    yield pa.RecordBatch.from_arrays([*(pa.array(p[keep]) for p in payload), pa.array(same[keep]), pa.array(opened[keep]), pa.array(first[keep]), pa.array(edge[keep].astype(np.int32)), pa.array(np.full(len(keep), part, np.int32)), pa.nulls(len(keep), pa.string())], names=names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in payload), *(pa.nulls(1, pa.bool_()) for _ in range(3)), pa.nulls(1, pa.int32()), pa.array([part], pa.int32()), pa.array([json.dumps(note)])], names=names)
+    tidy()
+
+
+def across(notes: list[dict]) -> list[tuple]:
+    """Notes of the buckets in order -> (part, same and open of the rows at its
+    first edge, those at its last edge, whether its first kind goes on from the
+    bucket before)."""
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def node(what: str, i: int, end: int) -> tuple:
+        return (what, i, 0 if notes[i]["kinds" if what == "kind" else "groups"] == 1 else end)
+
+    many: set[tuple] = set()
+    goes_on = [False] * len(notes)
+    for i in range(1, len(notes)):
+        before, now = notes[i - 1]["last"], notes[i]["first"]
+        if before[0] == now[0]:
+            if before == now:
+                goes_on[i] = True
+                root[find(node("kind", i, 0))] = find(node("kind", i - 1, 1))
+            else:
+                many.add(node("group", i, 0))
+            root[find(node("group", i, 0))] = find(node("group", i - 1, 1))
+    rows: dict[tuple, int] = {}
+    for i, x in enumerate(notes):
+        for k in {node("kind", i, 0), node("kind", i, 1)}:
+            rows[find(k)] = rows.get(find(k), 0) + x["rows"][k[2]]
+    several = {find(g) for g in many}
+    once: set[tuple] = set()
+    for i, x in enumerate(notes):
+        for end in (0, 1):
+            g = find(node("group", i, end))
+            several |= {g} if x["many"][end] else set()
+            once |= {g} if x["once"][end] or rows[find(node("kind", i, end))] == 1 else set()
+    out = []
+    for i, x in enumerate(notes):
+        sides = [(rows[find(node("kind", i, end))] > 1, (g := find(node("group", i, end))) in several and g in once) for end in (0, 1)]
+        out.append((x["part"], *sides[0], *sides[1], goes_on[i]))
+    return out
 
-    return run
+
+def _sorted(source: DataFrame, rows, column: str, each: int, name: str) -> DataFrame:
+    """The suffixes that `rows` (a function of splitters) makes of source, one for
+    about `each` bytes of a column, sorted: (r, a, b, c, same, open, first) of
+    those that are repeated or open; first: the one that stands for all that
+    equal it."""
+    spark = source.sparkSession
+    n, total = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each // BUCKET_ROWS))
+    sampled = source if n <= SAMPLE_DOCS else source.sample(SAMPLE_DOCS / n, seed=1)
+    some = sorted((r.h, r.ctx, r.r) for r in sampled.mapInArrow(rows([]), TOKENS).orderBy("r").limit(SAMPLE_ROWS * parts).select("h", "ctx", "r").collect())
+    splitters = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    dealt = source.mapInArrow(rows(splitters), TOKENS).repartitionById(max(1, len(splitters) + 1), "part")
+    bucketed, _ = materialize(dealt.mapInArrow(_bucket, "r long, a long, b long, c long, same boolean, open boolean, first boolean, edge int, part int, note string"), name)
+    notes = sorted((json.loads(r.note) for r in bucketed.where("note IS NOT NULL").select("note").collect()), key=lambda x: x["part"])  # one a bucket
+    edges = F.broadcast(spark.createDataFrame(across(notes), "part int, same0 boolean, open0 boolean, same1 boolean, open1 boolean, goes_on boolean"))
+    at = lambda bit: F.col("edge").bitwiseAND(bit) > 0
+    d = bucketed.where("note IS NULL").join(edges, "part")
+    same = F.when(at(4), F.col("same0")).when(at(8), F.col("same1")).otherwise(F.col("same"))
+    opened = F.when(at(1), F.col("open0")).when(at(2), F.col("open1")).otherwise(F.col("open"))
+    first = F.col("first") & ~(at(4) & F.col("goes_on"))
+    return d.select("r", "a", "b", "c", same.alias("same"), opened.alias("open"), first.alias("first")).where("same OR open")
+
+
+def _tokens(splitters: list, h: np.ndarray, ctx: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    h, ctx = h.astype(np.uint64).view(np.int64), ctx.astype(np.uint64).view(np.int64)
+    r = name_of(a, b)
+    part = bucket_of(splitters, [h, ctx, r])
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x) for x in (h, ctx, r, a, b, c))], names=["part", "h", "ctx", "r", "a", "b", "c"])
+
+
+def name_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two numbers."""
+    return mix(mix(a.astype(np.int64).view(np.uint64)) + b.astype(np.int64).view(np.uint64) * U(_BASE)).view(np.int64)
 
 
 def _runs(length: int):
-    names = ["doc_id", "th", "h", "ctx", "place"]
+    """Rows (row, text) -> the suffixes that begin where runs do: a is the row, b
+    the run's place."""
 
-    def run(batches):
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    few = batch.slice(at, 1000)
-                    text, start, count, offset, h, ctx = runs(_bytes(few.column(2)), length)
-                    rows = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([few.column(0).cast(pa.int64()).take(rows), few.column(1).take(rows), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64)), pa.array(_pack(start, count, offset))], names=names)
-        tidy()
+    def of(splitters: list):
+        def run(batches):
+            with np.errstate(over="ignore"):
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 1000):
+                        few = batch.slice(at, 1000)
+                        text, start, count, offset, h, ctx = runs(_bytes(few.column(1)), length)
+                        yield _tokens(splitters, h, ctx, few.column(0).to_numpy()[text], _pack(start, count, offset), np.zeros(len(text), np.int64))
+            tidy()
 
-    return run
+        return run
+
+    return of
 
 
 def _contexts(length: int):
-    """Rows (text, runs: [id, place]) -> (id, place, bytes of the run)."""
+    """Rows (row, text, places) -> (run, place, bytes) of its runs at the places."""
 
     def run(batches):
-        for batch in batches:
-            for text, opened in zip(batch.column(0), batch.column(1), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                opened = opened.as_py()
-                cut = [data[p >> 24 : (p >> 24) + (p >> 12 & 4095) - 1 + length] for p in (o["place"] for o in opened)]
-                yield pa.RecordBatch.from_arrays([pa.array([o["id"] for o in opened], pa.int64()), pa.array([o["h"] for o in opened], pa.int64()), pa.array([o["place"] for o in opened], pa.int64()), pa.array(cut, pa.binary())], names=["run", "h", "place", "bytes"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for row, text, places in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    data, opened = (text.as_py() or "").encode("utf-8", "surrogatepass"), np.array(places.as_py(), np.int64)
+                    cut = [data[p >> 24 : (p >> 24) + (p >> 12 & 4095) - 1 + length] for p in opened.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(name_of(np.full(len(opened), row.as_py(), np.int64), opened)), pa.array(opened), pa.array(cut, pa.binary())], names=["run", "place", "bytes"])
 
     return run
 
 
 def _pieces(length: int, size: int):
-    """Rows (run, h, place, bytes, wanted pieces) -> pieces of `size` windows:
-    (run, h, ctx, piece, at, n). A piece holds the windows whose distance to the
-    anchor, divided by size, is `piece`; wanted: those of the PIECE-sized ones
-    to cut, null for all."""
-    names = ["run", "h", "ctx", "piece", "at", "n"]
-
-    def cut(few):
-        place = few.column(2).to_numpy()
-        data = few.column(3)
+    """Rows (run, place, bytes, wanted pieces) -> the suffixes of pieces of `size`
+    windows: a is the run, b the first window, c piece << 12 | windows. A piece
+    holds the windows whose distance to the anchor, divided by size, is `piece`;
+    wanted: those of the PIECE-sized ones to cut, null for all."""
+
+    def cut(splitters, few):
+        place = few.column(1).to_numpy()
+        data = few.column(2)
         edge = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
         base = edge[:-1] - edge[0]
         hasher = Hasher(np.frombuffer(data.buffers()[2], np.uint8)[edge[0] : edge[-1]])
@@ -204,7 +353,7 @@ def _pieces(length: int, size: int):
         piece = distance // size
         first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])]))
         n = np.diff(np.concatenate([first, [len(row)]]))
-        wanted = few.column(4)
+        wanted = few.column(3)
         if wanted.null_count < len(wanted):
             lists = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
             keep = np.isin(row[first] * 4096 + distance[first] // PIECE, lists * 4096 + wanted.flatten().to_numpy())
@@ -212,71 +361,51 @@ def _pieces(length: int, size: int):
         row, at, q, distance = row[first], window[first], piece[first], distance[first]
         # What all windows of a piece share starts `size * q` before the anchor.
         core = base[row] + offset[row] - size * q
-        h = mix(hasher(core, core + length - size + 1) + few.column(1).to_numpy().view(np.uint64)[row] + q.astype(np.uint64))
+        h = mix(hasher(core, core + length - size + 1) + q.astype(np.uint64))
         ctx = mix(hasher(base[row] + at, base[row] + at + n - 1 + length) + (distance * 65536 + n).astype(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (few.column(0).to_numpy()[row], h.view(np.int64), ctx.view(np.int64), q, at, n)], names=names)
+        return _tokens(splitters, h, ctx, few.column(0).to_numpy()[row], at, q << 12 | n)
 
-    def run(batches):
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    yield cut(batch.slice(at, 2000))
-        tidy()
+    def of(splitters: list):
+        def run(batches):
+            with np.errstate(over="ignore"):
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 2000):
+                        yield cut(splitters, batch.slice(at, 2000))
+            tidy()
 
-    return run
-
-
-def _resolve(rows: DataFrame, name: str) -> DataFrame:
-    """rows (id, h, ctx, ...) -> those that are repeated (n_same > 1), or open:
-    of a group h with different ctx, some seen once; `first`: the one copy of
-    its ctx that stands for all."""
-    same = rows.groupBy("h", "ctx").agg(F.count("*").alias("n_same"), F.min("id").alias("least"))
-    groups = same.groupBy("h").agg(F.count("*").alias("_kinds"), F.min("n_same").alias("_least")).where("_kinds > 1 AND _least = 1").select("h", F.lit(True).alias("open"))
-    known = same.join(groups, "h", "left").where("n_same > 1 OR open")
-    known = known.withColumnsRenamed({"h": "_h", "ctx": "_c"})
-    out = rows.join(known, (F.col("h") == F.col("_h")) & (F.col("ctx") == F.col("_c"))).select(*rows.columns, "n_same", F.coalesce("open", F.lit(False)).alias("open"), (F.col("id") == F.col("least")).alias("first"))
-    return _settle(out, name)
+        return run
 
-
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back; what was shuffled for it can then be cleaned up."""
-    out, _ = materialize(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+    return of
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, th, start, n): windows start..start+n-1 of the document occur
-    elsewhere. docs: doc_id, th (hash of the row's text), text."""
+    """(row, start, n): windows start..start+n-1 of the document occur elsewhere.
+    docs: row (a hash of doc_id and text), text."""
     if not 1 < length < 4096:
         raise ValueError("length must be from 2 to 4095")
     long = docs.where(F.octet_length("text") >= length)
-    again = long.select("text").mapInArrow(_anchors(length), "h long").groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
-    again = _settle(again, "anchors")  # a join of two plain shuffles: a hot anchor's rows can be split
-    found = long.select("doc_id", "th", "text").mapInArrow(_runs(length), "doc_id long, th long, h long, ctx long, place long")
-    found = _settle(found.join(again, "h"), "runs")
-    level = _resolve(found.withColumn("id", F.xxhash64("doc_id", "th", "place")), "level0")
-    whole = level.where("n_same > 1").select("doc_id", "th", F.expr("shiftright(place, 24)").alias("start"), F.expr("shiftright(place, 12) & 4095").alias("n"))
+    level = _sorted(long.select("row", "text"), _runs(length), "text", 50, "level0")
+    start, n = F.expr("shiftright(b, 24)"), F.expr("shiftright(b, 12) & 4095")
+    whole = level.where("same").select(F.col("a").alias("row"), start.alias("start"), n.alias("n"))
     opened = level.where("open AND first")
-    lists = opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("id", "h", "place")).alias("_runs")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    lists = _settle(lists, "lists")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    some = long
-    if lists.count() <= BROADCAST_ROWS:  # ids only: spares the other texts the shuffle
-        some = long.join(F.broadcast(lists.select("_id", "_th")), same, "left_semi")
-    texts = some.join(lists, same)
-    cut = _settle(texts.select("text", "_runs").mapInArrow(_contexts(length), "run long, h long, place long, bytes binary").dropDuplicates(["run"]), "contexts")
-    spec = "run long, h long, ctx long, piece long, at long, n long"
-    pieces = cut.withColumn("_want", F.lit(None).cast("array<long>")).mapInArrow(_pieces(length, PIECE), spec)
-    level1 = _resolve(pieces.withColumn("id", F.xxhash64("run", "piece")), "level1")
-    wanted = level1.where("open AND first").groupBy(F.col("run").alias("_run")).agg(F.collect_set("piece").alias("_want"))
-    windows = cut.join(wanted, F.col("run") == F.col("_run")).select("run", "h", "place", "bytes", "_want").mapInArrow(_pieces(length, 1), spec)
-    level2 = _resolve(windows.withColumn("id", F.xxhash64("run", "at")), "level2")
-    parts = level1.where("n_same > 1").select("run", "at", "n").unionAll(level2.where("n_same > 1").select("run", "at", "n"))
-    single = opened.where("n_same = 1").select(F.col("id").alias("run"), "doc_id", "th", F.expr("shiftright(place, 24)").alias("_from"))
-    partly = parts.join(single, "run").select("doc_id", "th", (F.col("_from") + F.col("at")).alias("start"), "n")
-    return whole.unionByName(partly)
+    lists, _ = materialize(opened.groupBy(F.col("a").alias("_row")).agg(F.collect_list("b").alias("_places")), "lists")
+    texts = _some(long, lists, "_row").join(lists, F.col("row") == F.col("_row"))
+    cut, at_cut = materialize(texts.select("row", "text", "_places").mapInArrow(_contexts(length), "run long, place long, bytes binary").dropDuplicates(["run"]), "contexts")
+    level1 = _sorted(cut.withColumn("_want", F.lit(None).cast("array<long>")), _pieces(length, PIECE), "bytes", PIECE, "level1")
+    wanted, _ = materialize(level1.where("open AND first").groupBy(F.col("a").alias("_run")).agg(F.collect_set(F.expr("shiftright(c, 12)")).alias("_want")), "wanted")
+    closer, at_closer = materialize(cut.join(wanted, F.col("run") == F.col("_run")).select("run", "place", "bytes", "_want"), "closer")
+    level2 = _sorted(closer, _pieces(length, 1), "bytes", 1, "level2")
+    drop_path(docs.sparkSession, at_cut, at_closer)
+    parts = [x.where("same").select(F.col("a").alias("_run"), F.col("b").alias("_at"), F.expr("c & 4095").alias("n")) for x in (level1, level2)]
+    single = opened.where("NOT same").select(F.col("r").alias("_run"), F.col("a").alias("row"), start.alias("_from"))
+    return whole.unionByName(parts[0].unionAll(parts[1]).join(single, "_run").select("row", (F.col("_from") + F.col("_at")).alias("start"), "n"))
+
+
+def _some(docs: DataFrame, listed: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """docs whose row is, or isn't, in `listed`, told by broadcast while that is
+    of bounded size: only ids are sent, and the other texts are not shuffled."""
+    ids = listed.select(key)
+    return docs.join(F.broadcast(ids) if listed.count() <= BROADCAST_ROWS else ids, F.col("row") == F.col(key), how)
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -308,8 +437,9 @@ def _cut(length: int, texts: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs, and with
     `texts` the kept bytes and the removed spans (byte offsets)."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    marks = repeated_windows(d, length).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("_windows"))
-    marks = _settle(marks, "marks")
-    joined = d.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return joined.select("doc_id", "text", "_windows").mapInArrow(_cut(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    marks = repeated_windows(d, length).groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "n")).alias("_windows"))
+    marks, _ = materialize(marks, "marks")
+    marked = _some(d, marks, "_row").join(marks, F.col("row") == F.col("_row")).select("doc_id", "text", "_windows")
+    others = _some(d, marks, "_row", "left_anti").select("doc_id", "text", F.lit(None).cast(marks.schema["_windows"].dataType).alias("_windows"))
+    return marked.unionAll(others).mapInArrow(_cut(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
