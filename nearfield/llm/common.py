@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,21 +14,40 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set as the session's checkpoint folder.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on
+    one machine may it be unset (tests); a temporary folder is made then and set
+    as the session's checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nearfield-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/nearfield-{uuid.uuid4().hex}"
+    if (made := _scratch.get()) is not None:
+        made.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders of intermediate tables that are made within are deleted at the
+    end, but for those taken out of the list."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield made
+    finally:
+        _scratch.reset(token)
+        drop_path(spark, *made)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:

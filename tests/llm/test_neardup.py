@@ -17,7 +17,7 @@ def sets(rows):
     return out
 
 
-def brute(rows):
+def brute(rows, percent=85):
     s = sets(rows)
     ids, root = sorted(s), {i: i for i in s}
 
@@ -32,7 +32,7 @@ def brute(rows):
             post[x].append(i)
     both = Counter((a, b) for p in post.values() for k, a in enumerate(p) for b in p[k + 1 :])
     for (a, b), n in both.items():
-        if 100 * n >= 85 * len(s[a] | s[b]):
+        if 100 * n >= percent * len(s[a] | s[b]):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return {i: (len(s[i]), find(i)) for i in ids}

@@ -31,7 +31,7 @@ def test_stages(spark, sf):
     scored = [(r, *m.score([r[1]])[0]) for r in before]
     assert sorted(after, key=repr) == sorted((r for r, lang, score, gain in scored if lang != "und" and score >= 0.5 and gain > 0), key=repr) and len(after) <= len(before) - 2
     before, after = took["near_duplicates"]
-    root = groups([r[:2] for r in before])
+    root = groups([r[:2] for r in before], 80)
     assert sorted(after) == sorted(r for r in before if root[r[0]][1] == r[0]) and len(after) < len(before)
     before, after = took["decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -53,7 +53,13 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
+    from nearfield.llm.common import shared_dir
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    tables = lambda: {str(f.getPath().getName()) for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    before = tables()
     out = corpus_pipeline.run(spark, sf)
+    assert len(tables() - before) <= 4  # what the last stage reads
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
 
 
@@ -73,3 +79,20 @@ def test_query_against_sql(spark, sf, name):
     columns = sorted(df.columns)
     found = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(found, key=repr)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids, null texts, extra columns and empty tables pass through all stages."""
+    rows = [(None, "the cat sat on the mat and so on and on", "en", "a", 1), (None, "the cat sat on the mat and so on and on", "en", "a", 1), (7, "one text of words that no one else has", "en", None, 1), (7, "another text which shares that doc_id only", "en", "b", 1), (8, None, None, None, None), (9, "", "en", "a", 0), (10, "12 34", "en", "a", 5)]
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` map<string,int>")
+    spark.createDataFrame([(1, "quite other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start in (docs, docs.limit(0)):
+        d = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, str(tmp_path))
+            if name != "tokens":
+                assert out.columns == docs.columns
+                d = spark.createDataFrame(out.collect(), docs.schema)
+            if name == "near_duplicates":
+                assert sorted((r.text for r in out.collect())) == (sorted(r[1] for r in rows[1:4]) if start is docs else [])
+        assert out.count() == d.count()
