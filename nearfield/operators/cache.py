@@ -25,15 +25,17 @@ class Entry:
     name: str
     version: int
     frame: DataFrame
+    held: DataFrame
     nelems: int
     bytes: int
     generation: int
     lastused: int
+    state: str = "READY"  # or PARTIAL: as many shards as fit
     busy: int = 0
 
 
-def nodes(index, options) -> DataFrame:
-    """The index's nodes, from the cache if they fit into it."""
+def shards(index, options) -> DataFrame:
+    """The index's shards, from the cache as far as they fit into it."""
     global _budget
     with _lock:
         _budget = options.cache_mb << 20
@@ -42,25 +44,28 @@ def nodes(index, options) -> DataFrame:
             found.lastused = next(_clock)
             _entries.move_to_end(index.name)
             return found.frame
-        rows, dim = index.manifest["rows"], index.manifest["dim"] or 0
+        rows, dim, number = index.manifest["rows"], index.manifest["dim"] or 0, index.manifest["shards"]
         need = rows * (8 * dim + 4 * (index.options.degree + index.options.payload_degree) + 64)
-        if need > _budget:
-            return index.nodes
+        part = number if need <= _budget else number * _budget // need
+        if not part:
+            return index.shards
         invalidate(index.name)
+        need = need * part // number
         while _entries and (sum(e.bytes for e in _entries.values()) + need > _budget or len(_entries) >= SLOTS):
             idle = next((e for e in _entries.values() if not e.busy), None)
             if idle is None:
-                return index.nodes
+                return index.shards
             evict(idle.name)
-        frame = index.nodes.persist()
-        _entries[index.name] = Entry(index.name, index.version, frame, rows, need, next(_generation), next(_clock))
+        held = (index.shards if part == number else index.shards.where(f"shard < {part}")).persist()
+        frame = held if part == number else held.unionAll(index.shards.where(f"shard >= {part}"))
+        _entries[index.name] = Entry(index.name, index.version, frame, held, rows * part // number, need, next(_generation), next(_clock), "READY" if part == number else "PARTIAL")
         return frame
 
 
 def invalidate(name: str) -> None:
     with _lock:
         if (e := _entries.pop(name, None)) is not None:
-            e.frame.unpersist()
+            e.held.unpersist()
 
 
 def evict(name: str) -> bool:
@@ -97,7 +102,7 @@ class pinned:
 
 def stats(spark: SparkSession) -> DataFrame:
     with _lock:
-        rows = [(e.name, e.version, "READY", e.nelems, e.bytes, e.generation, e.lastused) for e in _entries.values()]
+        rows = [(e.name, e.version, e.state, e.nelems, e.bytes, e.generation, e.lastused) for e in _entries.values()]
     return spark.createDataFrame(rows, "index string, version long, state string, nelems long, bytes long, generation long, lastused long")
 
 

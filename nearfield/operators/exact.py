@@ -17,7 +17,7 @@ from nearfield.functions import metrics
 from nearfield.functions.metrics import Vector
 
 BROADCAST_QUERIES = 1_000  # queries sent to every task; with more, they are dealt out in blocks
-QUERY_BLOCK, ITEM_BLOCKS = 1_024, 64
+QUERY_BLOCK, ITEM_BLOCK = 1_024, 16_384  # rows that meet in a task
 
 
 def knn(df: DataFrame, q: Vector, k: int | None = 10, where: Column | None = None, metric: str = "l2", id: str = "id", vec: str = "embedding", offset: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,30 +59,52 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(square) if metric == "l2" else square
 
 
+def _slack(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray | float:
+    """How far rounding may put `distances` off, for every pair."""
+    unit = 8 * x.shape[1] * np.finfo(np.float64).eps
+    if metric == "sql2":
+        return unit * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :])
+    if metric == "ip":
+        return unit * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    if metric == "l1":
+        return unit * (np.abs(q).sum(axis=1)[:, None] + np.abs(x).sum(axis=1)[None, :])
+    return unit
+
+
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, distances) of the k nearest rows of x for each row of q, by
+    distance and id; rows without a distance are none. The product form rounds:
+    all rows that may be among the k are measured again, term by term."""
+    kind = {"l2": "sql2"}.get(metric, metric)
+    near, slack = distances(q, x, kind), _slack(q, x, kind)
+    low, high = near - slack, near + slack
+    out = []
+    for i in range(len(q)):
+        few = np.flatnonzero(~np.isnan(near[i]))
+        if len(few) > k:
+            few = few[low[i][few] <= np.partition(high[i][few], k - 1)[k - 1]]
+        again = distances_exact(q[i], x[few], metric)
+        order = np.lexsort((ids[few], again))[:k]
+        out.append((few[order], again[order]))
+    return out
+
+
 def _blocks(d: DataFrame, asked: DataFrame, k: int, metric: str, id: str, vec: str, qid: str, qvec: str) -> DataFrame:
     """Blocks of queries meet blocks of rows; each pair is one task's matrix
-    product and leaves k rows a query."""
-    q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = d.withColumn("_ib", F.pmod(F.xxhash64(id), F.lit(ITEM_BLOCKS))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(q_blocks)).cast("int")).withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ITEM_BLOCKS - 1).cast("long"))))
+    product and leaves k rows a query. The blocks' sizes don't grow with the tables."""
+    q_blocks, blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-d.count() // ITEM_BLOCK))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = d.withColumn("_ib", dealt(id, blocks)).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = asked.withColumn("_qb", dealt(qid, q_blocks)).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kinds = {f.name: f.dataType.simpleString() for f in (*d.schema, *asked.schema)}
-    exact = {"l2": "sql2"}.get(metric, metric)
 
     def meet(items, queries):
         ids, qids = items[id].to_numpy(), queries[qid].to_numpy()
         if not len(ids) or not len(qids):
             return items.iloc[:0].assign(**{qid: [], "d": []})[[qid, id, "d"]]
         x, q = np.stack(items[vec].to_numpy()).astype(np.float64), np.stack(queries[qvec].to_numpy()).astype(np.float64)
-        near = distances(q, x, exact)
-        rows = []
-        for i, row in enumerate(near):
-            few = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-9) if len(row) > k else np.flatnonzero(~np.isnan(row))
-            # The product form rounds: the few nearest are measured again, term by term.
-            again = distances_exact(q[i], x[few], metric)
-            order = np.lexsort((ids[few], again))[:k]
-            rows.append((np.full(len(order), qids[i]), ids[few][order], again[order]))
-        a, b, c = (np.concatenate(z) for z in zip(*rows, strict=True))
-        return pd.DataFrame({qid: a, id: b, "d": c})
+        rows = nearest(q, x, ids, k, metric)
+        return pd.DataFrame({qid: np.repeat(qids, [len(at) for at, _ in rows]), id: ids[np.concatenate([at for at, _ in rows])], "d": np.concatenate([far for _, far in rows])})
 
     return left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInPandas(meet, f"{qid} {kinds[qid]}, {id} {kinds[id]}, d double")
 

@@ -127,19 +127,25 @@ class ShardGraph:
     def _descend(self, q: np.ndarray, at: int, layer: int) -> int:
         best = float(self.near(q, [at])[0])
         while True:
-            nbrs = self.links[at][layer] if layer < len(self.links[at]) else []
-            if not nbrs:
+            nbrs = self._layer(at, layer)
+            if not len(nbrs):
                 return at
             d = self.near(q, nbrs)
             i = int(np.argmin(d))
             if d[i] >= best:
                 return at
-            best, at = float(d[i]), nbrs[i]
+            best, at = float(d[i]), int(nbrs[i])
+
+    def _layer(self, n: int, layer: int) -> list[int]:
+        return self.links[n][layer] if layer < len(self.links[n]) else []
 
     def _neighbours(self, n: int, layer: int) -> list[int]:
-        near = self.links[n][layer] if layer < len(self.links[n]) else []
+        near = self._layer(n, layer)
         return near + self.extra[n] if layer == 0 else near
 
+    def _unseen(self, n: int, seen: np.ndarray) -> list[int]:
+        return [i for i in self._neighbours(n, 0) if not seen[i]]
+
     def _beam(self, q: np.ndarray, starts: list[int], layer: int, ef: int) -> list[tuple[float, int]]:
         seen = set(starts)
         heap = [(float(d), i) for d, i in zip(self.near(q, starts), starts, strict=True)]
@@ -285,7 +291,7 @@ class ShardGraph:
                     break
             _, n = heapq.heappop(members if members else heap)
             count["expansions"] += 1
-            new = [i for i in self._neighbours(n, 0) if not seen[i]]
+            new = self._unseen(n, seen)
             if new:
                 seen[new] = True
                 discover(new)
@@ -303,3 +309,74 @@ class ShardGraph:
         rows = rows if k is None else rows[:k]
         count["emits"] = len(rows)
         return rows, count
+
+
+class PackedGraph(ShardGraph):
+    """A shard's graph as it is stored, for searches: vectors, links and codes
+    are arrays over the stored bytes, without a copy."""
+
+    def __init__(self, options: IndexOptions, row: dict):
+        self.o, self._n, self.entry = options, row["n"], row["entry"]
+        n = self._n
+        self.ids, self.deleted = row["row_id"], row["deleted"]
+        self.vec = np.frombuffer(row["vec"], np.float32 if len(row["vec"]) == 4 * n * row["dim"] else np.float64).reshape(n, row["dim"])
+        self.dim = row["dim"]
+        self.level = np.frombuffer(row["level"], np.int8)
+        self._first = np.cumsum(self.level.astype(np.int64) + 1) - self.level - 1  # of a node's layers
+        self._links, self._at = _lists(row["links"], int(self._first[-1] + self.level[-1] + 1) if n else 0)
+        self._extra, self._extra_at = _lists(row["extra"], n)
+        self.codes = None
+        if row["codes"]:
+            ends = np.frombuffer(row["codes"], np.float64, 2 * n)
+            self.codes = (ends[:n], ends[n:], np.frombuffer(row["codes"], np.uint8, n * self.dim, 16 * n).reshape(n, self.dim))
+
+    def _layer(self, n: int, layer: int) -> np.ndarray:
+        if layer > self.level[n]:
+            return self._links[:0]
+        i = self._first[n] + layer
+        return self._links[self._at[i] : self._at[i + 1]]
+
+    def _neighbours(self, n: int, layer: int) -> np.ndarray:
+        near = self._layer(n, layer)
+        return np.concatenate([near, self._extra[self._extra_at[n] : self._extra_at[n + 1]]]) if layer == 0 else near
+
+    def _unseen(self, n: int, seen: np.ndarray) -> list[int]:
+        near = self._neighbours(n, 0)
+        return list(dict.fromkeys(near[~seen[near]].tolist()))
+
+    def open(self, seed: int, filters: list[int | None]) -> ShardGraph:
+        """The same graph in lists, to be grown."""
+        g = ShardGraph(self.o, self.dim, seed)
+        g.vec, g._n, g.entry = self.vec.astype(np.float64), self._n, self.entry
+        g.ids, g.level, g.deleted, g.filter = [int(i) for i in self.ids], self.level.tolist(), [bool(x) for x in self.deleted], filters
+        g.links = [[self._layer(i, layer).tolist() for layer in range(g.level[i] + 1)] for i in range(g._n)]
+        g.extra = [self._extra[self._extra_at[i] : self._extra_at[i + 1]].tolist() for i in range(g._n)]
+        for i, f in enumerate(filters):
+            if f is not None:
+                g.members.setdefault(f & 255, array("q")).append(i)
+        return g
+
+
+def _bytes(lists: list[list[int]]) -> bytes:
+    """Lists of node numbers: all lengths, then all numbers."""
+    return np.fromiter((x for part in ([len(a) for a in lists], *lists) for x in part), np.int32).tobytes()
+
+
+def _lists(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.frombuffer(data, np.int32)
+    return whole[n:], np.concatenate([[0], np.cumsum(whole[:n], dtype=np.int64)])
+
+
+def pack(g: ShardGraph) -> dict:
+    """A graph as one row of arrays and bytes."""
+    small = g.vec[: g._n].astype(np.float32)
+    vec = small if (small == g.vec[: g._n]).all() else g.vec[: g._n]
+    codes = b""
+    if g.o.inline_codes and g._n:
+        g.encode()
+        codes = g.codes[0].astype(np.float64).tobytes() + g.codes[1].astype(np.float64).tobytes() + g.codes[2].astype(np.uint8).tobytes()
+    known = [f for f in g.filter if f is not None]
+    return {
+        "n": g._n, "dim": g.dim, "entry": g.entry, "lo": min(known, default=None), "hi": max(known, default=None), "row_id": list(g.ids), "filter_val": list(g.filter), "deleted": list(g.deleted),
+        "vec": np.ascontiguousarray(vec).tobytes(), "level": np.array(g.level, np.int8).tobytes(), "links": _bytes([layer for node in g.links for layer in node]), "extra": _bytes(g.extra), "codes": codes,
+    }

@@ -2,55 +2,88 @@
 
 Rows are dealt out to shards by a hash of their id; a task builds or searches the
 graph of one shard, bounded by IndexOptions.shard_rows, and shards need nothing
-from each other. Every change publishes a new version; a reader keeps its own.
+from each other. A shard is stored as one row: ids, filter values and marks as
+arrays, which Spark filters, and vectors, links and codes as bytes, which a task
+reads in place. So a search is a scan, a filter and a map: nothing of the index
+is shuffled, and shards whose filter values can't pass aren't read. Deletions are
+a table of ids beside the shards until the next insert, or until they are many.
+Every change publishes a new version; a reader keeps its own.
 """
 
 from __future__ import annotations
 
-from array import array
+import warnings
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import metrics
 from nearfield.operators import cache, exact, telemetry
-from nearfield.operators.graph import COUNTERS, ShardGraph
+from nearfield.operators.graph import COUNTERS, PackedGraph, ShardGraph, pack
 from nearfield.plans import stats
 from nearfield.plans.options import IndexOptions, SearchOptions
 from nearfield.sources.store import Store
 
 QUERY_BATCH = 10_000
-NODES = "shard int, node int, row_id long, level int, deleted boolean, filter_val long, vec array<double>, links array<array<int>>, extra array<int>, entry boolean"
-
-
-def _pack(g: ShardGraph, shard: int) -> pd.DataFrame:
-    n = g._n
-    return pd.DataFrame({
-        "shard": np.full(n, shard, np.int32), "node": np.arange(n, dtype=np.int32), "row_id": g.ids, "level": np.array(g.level, np.int32), "deleted": g.deleted,
-        "filter_val": pd.array([None if f is None else int(f) for f in g.filter], "Int64"), "vec": [v.tolist() for v in g.vec[:n]], "links": g.links, "extra": g.extra, "entry": [i == g.entry for i in range(n)],
-    })
-
-
-def _unpack(pdf: pd.DataFrame, o: IndexOptions, seed: int) -> ShardGraph:
-    pdf = pdf.sort_values("node")
-    g = ShardGraph(o, len(pdf["vec"].iloc[0]), seed)
-    g.vec = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-    g.ids, g.level, g.deleted = pdf["row_id"].tolist(), pdf["level"].tolist(), pdf["deleted"].tolist()
-    g.filter = [None if pd.isna(f) else int(f) for f in pdf["filter_val"]]
-    g.links = [[list(map(int, layer)) for layer in node] for node in pdf["links"]]
-    g.extra = [list(map(int, node)) for node in pdf["extra"]]
-    g._n = len(pdf)
-    entry = np.flatnonzero(pdf["entry"].to_numpy(bool))
-    g.entry = int(entry[0]) if len(entry) else -1
-    for i, f in enumerate(g.filter):
-        if f is not None:
-            g.members.setdefault(f & 255, array("q")).append(i)
+SMALL_ROWS = 1_000_000  # ids (of deletions, or of rows that pass) that are sent to every executor
+SHARDS = "shard int, n int, dim int, entry int, lo long, hi long, row_id array<long>, filter_val array<long>, deleted array<boolean>, vec binary, level binary, links binary, extra binary, codes binary"
+BLOBS = ["n", "dim", "entry", "vec", "level", "links", "extra", "codes"]
+
+
+ROW = pa.schema([
+    *((c, pa.int32()) for c in ("shard", "n", "dim", "entry")), *((c, pa.int64()) for c in ("lo", "hi")), ("row_id", pa.list_(pa.int64())), ("filter_val", pa.list_(pa.int64())),
+    ("deleted", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("vec", "level", "links", "extra", "codes")),
+])
+
+
+def _pack(g: ShardGraph, shard: int) -> pa.Table:
+    return pa.Table.from_pylist([{"shard": shard, **pack(g)}] if g._n else [], ROW)
+
+
+def _open(old: pa.Table, o: IndexOptions, seed: int, gone: set[int]) -> ShardGraph:
+    row = old.to_pylist()[0]
+    g = PackedGraph(o, row).open(seed, row["filter_val"])
+    g.deleted = [d or i in gone for d, i in zip(g.deleted, g.ids, strict=True)]
     return g
 
 
+def _add(g: ShardGraph, rows: pa.Table, gated: set[int]) -> None:
+    """Rows (row_id, filter_val, vec), in the order of their ids."""
+    rows = rows.sort_by("row_id").combine_chunks()
+    if rows.num_rows:
+        vectors = rows.column("vec").combine_chunks()
+        flat = (vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors).flatten().to_numpy(zero_copy_only=False)
+        g.add(rows.column("row_id").to_pylist(), rows.column("filter_val").to_pylist(), list(flat.reshape(rows.num_rows, -1)), gated)
+
+
+def _shards(batches, wanted: tuple[str, ...] = ()):
+    """Batches of rows (shard, pos, row_id, deleted, passes, wanted columns, and
+    a shard's bytes on its first row) -> (shard, row, passes) of whole shards."""
+    row, parts = None, []
+
+    def whole():
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        row["row_id"], row["deleted"] = columns[0], columns[1]
+        return row["shard"], row | dict(zip(wanted, columns[3:], strict=True)), columns[2]
+
+    for batch in batches:
+        pos = batch.column("pos").to_numpy()
+        cuts = [*np.flatnonzero(pos == 0).tolist(), len(pos)]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "deleted", "passes")] + [np.array(batch.column(c).to_pylist(), object) for c in wanted]
+        if cuts[0]:
+            parts.append([c[: cuts[0]] for c in columns])
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if row is not None:
+                yield whole()
+            row, parts = {c: batch.column(c)[at].as_py() for c in ("shard", *BLOBS)}, [[c[at:to] for c in columns]]
+    if row is not None:
+        yield whole()
+
+
 def _seed(o: IndexOptions, shard: int, more: int = 0) -> int:
     return (max(o.build_seed, 0) + 7919 * shard + 104729 * more) % 2**32
 
@@ -75,35 +108,82 @@ class GraphIndex:
     def stats(self) -> stats.FilterStats:
         return stats.FilterStats(**self.manifest["stats"])
 
+    @property
+    def shards(self) -> DataFrame:
+        """One row per shard, as stored."""
+        return self.spark.read.schema(SHARDS).parquet(self.store.folder(self.manifest["nodes"], "nodes"))
+
+    @property
+    def gone(self) -> DataFrame | None:
+        """(row_id) of deletions that aren't in the shards yet."""
+        return None if self.manifest["gone"] is None else self.spark.read.schema("row_id long").parquet(self.store.folder(self.manifest["gone"], "gone"))
+
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.schema(NODES).parquet(self.store.folder(self.version, "nodes"))
+        """One row per node: shard, node, row_id, filter_val, deleted, vec."""
+        o = self.options
+
+        def decode(batches):
+            for shard, row, _ in _shards(batches, ("filter_val",)):
+                vec = PackedGraph(o, row).vec
+                for at in range(0, row["n"], 1000):
+                    to = min(at + 1000, row["n"])
+                    yield pa.RecordBatch.from_pydict({
+                        "shard": pa.array(np.full(to - at, shard, np.int32)), "node": pa.array(np.arange(at, to, dtype=np.int32)), "row_id": pa.array(row["row_id"][at:to], pa.int64()),
+                        "filter_val": pa.array(row["filter_val"][at:to].tolist(), pa.int64()), "deleted": pa.array(row["deleted"][at:to], pa.bool_()), "vec": pa.array(list(vec[at:to].astype(np.float64)), pa.list_(pa.float64())),
+                    })
+
+        return self._stream(self.shards, F.lit(True), None).mapInArrow(decode, "shard int, node int, row_id long, filter_val long, deleted boolean, vec array<double>")
+
+    def _stream(self, shards: DataFrame, passes: Column, passing: DataFrame | None) -> DataFrame:
+        """Shards as streams of their rows, in place and in order, with `passes`;
+        the bytes of a shard are on its first row only. No row changes its task
+        as long as `passing` and the deletions are of bounded size."""
+        first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+        d = shards.select("shard", *BLOBS, F.posexplode(F.arrays_zip("row_id", "filter_val", "deleted")).alias("pos", "_r"))
+        d = d.select("shard", "pos", F.col("_r.row_id").alias("row_id"), F.col("_r.filter_val").alias("filter_val"), F.col("_r.deleted").alias("deleted"), *map(first, BLOBS))
+        moved = False
+        for ids, mark in ((self.gone, "_gone"), (passing, "_ok")):
+            if ids is not None:
+                small = ids.count() <= SMALL_ROWS
+                moved |= not small
+                ids = ids.withColumn(mark, F.lit(True))
+                d = d.join(F.broadcast(ids) if small else ids, "row_id", "left")
+        if self.gone is not None:
+            d = d.withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
+        ok = passes if passing is None else passes & F.coalesce("_ok", F.lit(False))
+        d = d.select("shard", "pos", "row_id", "filter_val", "deleted", (ok & ~F.col("deleted")).alias("passes"), *BLOBS)
+        return d.repartition("shard").sortWithinPartitions("shard", "pos") if moved else d
 
     # -- build ------------------------------------------------------------------------------------------------------
     @classmethod
-    def build(cls, df: DataFrame, path: str, options: IndexOptions | None = None, id: str = "id", vec: str = "embedding", filter: str | None = "bucket") -> GraphIndex:
+    def build(cls, df: DataFrame, path: str, options: IndexOptions | None = None, id: str = "id", vec: str = "embedding", filter: str | None = "bucket", **extra) -> GraphIndex:
         """Index all rows of df with a vector; rows of null vectors are left
-        out, as are zero vectors under cosine. An empty df gives an empty index."""
+        out, as are zero vectors under cosine. An empty df gives an empty index.
+        extra: entries of the manifest."""
         spark, o = df.sparkSession, options or IndexOptions(gamma=SearchOptions.of(df.sparkSession).default_gamma)
         rows = _rows(df, id, vec, filter, o)
         n, dims, dim = rows.agg(F.count("*"), F.countDistinct(F.size("vec")), F.max(F.size("vec"))).first()
         if dims > 1:
             raise ValueError("vectors of different dimensions can't share an index")
         shards = max(1, -(-n // o.shard_rows))
+        if o.build_mb and n and (need := n * o.bytes_per_row(dim)) > shards * (o.build_mb << 20):
+            shards = int(-(-need // (o.build_mb << 20)))
+            warnings.warn(f"graphs of {o.shard_rows} rows don't fit into build_mb = {o.build_mb}: {shards} shards are built", stacklevel=2)
         gated = [r.part for r in stats.partition_counts(rows, "filter_val").where(F.col("n") < o.payload_min_cardinality).collect()] if o.payload_min_cardinality else []
 
-        def build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            g = ShardGraph(o, dim, _seed(o, int(key[0])))
-            pdf = pdf.sort_values("row_id", kind="stable")
-            g.add(pdf["row_id"], [None if pd.isna(f) else int(f) for f in pdf["filter_val"]], pdf["vec"].tolist(), set(gated))
-            return _pack(g, int(key[0]))
+        def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            g = ShardGraph(o, dim, _seed(o, shard))
+            _add(g, rows, set(gated))
+            return _pack(g, shard)
 
         store = Store(spark, path)
         version = max(store.versions(), default=0) + 1
         sharded = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
-        sharded.groupBy("shard").applyInPandas(build_shard, NODES).write.mode("overwrite").partitionBy().parquet(store.folder(version, "nodes"))
+        sharded.groupBy("shard").applyInArrow(build_shard, SHARDS).write.mode("overwrite").parquet(store.folder(version, "nodes"))
         fs = stats.FilterStats.of(rows, "filter_val")
-        store.publish({"version": version, "options": o.as_dict(), "dim": dim, "shards": shards, "rows": n, "deleted": 0, "gated": gated, "stats": {"rows": fs.rows, "distinct": fs.distinct, "bounds": fs.bounds}})
+        store.publish({"version": version, "nodes": version, "gone": None, "options": o.as_dict(), "dim": dim, "shards": shards, "rows": n, "deleted": 0, "gated": gated, "stats": {"rows": fs.rows, "distinct": fs.distinct, "bounds": fs.bounds}, **extra})
         return cls(spark, path, version)
 
     # -- search -----------------------------------------------------------------------------------------------------
@@ -131,14 +211,15 @@ class GraphIndex:
         the entry, and sampled nodes that a search for their own vector misses."""
         o = self.options
 
-        def probe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            g = _unpack(pdf, o, 0)
-            passes = np.ones(g._n, bool)
-            some = range(0, g._n, max(1, g._n // 50))
-            lost = sum(g.ids[i] not in {r for _, r in g.search(g.vec[i], passes, max(100, o.ef_construction), 10)[0]} for i in some if not g.deleted[i])
-            return pd.DataFrame({"shard": [int(key[0])], "nodes": [g._n], "unreached": [g.unreached()], "lost": [lost]})
+        def probe(batches):
+            for shard, row, _ in _shards(batches):
+                g = PackedGraph(o, row)
+                passes, ids = np.ones(g._n, bool), g.ids.tolist()
+                some = range(0, g._n, max(1, g._n // 50))
+                lost = sum(ids[i] not in {r for _, r in g.search(g.vec[i], passes, max(100, o.ef_construction), 10)[0]} for i in some if not g.deleted[i])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "nodes": [g._n], "unreached": [g.unreached()], "lost": [lost]})
 
-        return self.nodes.groupBy("shard").applyInPandas(probe, "shard int, nodes long, unreached long, lost long")
+        return self._stream(self.shards, F.lit(True), None).mapInArrow(probe, "shard int, nodes long, unreached long, lost long")
 
     def _filter(self, where: Column | None, keys: list[tuple[str, int]] | None) -> Column:
         from nearfield.functions.predicates import conjunction
@@ -176,24 +257,25 @@ class GraphIndex:
         for _, q in asked:
             if len(q) != self.manifest["dim"]:
                 raise ValueError(f"different vector dimensions {self.manifest['dim']} and {len(q)}")
-        nodes = cache.nodes(self, s) if s.use_cache and s.cache_mb else self.nodes
-        nodes = nodes.withColumn("passes", self._filter(where, keys))
+        shards = cache.shards(self, s) if s.use_cache and s.cache_mb else self.shards
+        for op, c in keys or []:  # shards in which no row can pass
+            shards = shards.where({"<": F.col("lo") < c, "<=": F.col("lo") <= c, "=": (F.col("lo") <= c) & (F.col("hi") >= c), ">=": F.col("hi") >= c, ">": F.col("hi") > c}[op])
         if passing is not None:
-            ok = passing.select(F.col("id").alias("row_id")).distinct().withColumn("_ok", F.lit(True))
-            nodes = nodes.join(ok, "row_id", "left").withColumn("passes", F.col("passes") & F.coalesce("_ok", F.lit(False))).drop("_ok")
+            passing = passing.select(F.col("id").alias("row_id")).distinct()
         shared, counters = self.spark.sparkContext.broadcast(asked), telemetry.counters(self.spark)
 
-        def search_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("node")
-            g, passes, rows = _unpack(pdf, o, 0), pdf["passes"].to_numpy(bool), []
-            for qid, q in shared.value:
-                found, count = g.search(q, passes, ef, k, s.member_first, s.buffered_emission, codes)
-                rows += [(qid, i, d) for d, i in found]
-                for c in COUNTERS:
-                    counters[c].add(count[c])
-            return pd.DataFrame(rows, columns=["qid", "row_id", "d"]).astype({"qid": "int64", "row_id": "int64", "d": "float64"})
-
-        made = nodes.groupBy("shard").applyInPandas(search_shard, "qid long, row_id long, d double")
+        def search_shards(batches):
+            for _, row, passes in _shards(batches):
+                g, rows = PackedGraph(o, row), []
+                for qid, q in shared.value:
+                    found, count = g.search(q, passes.astype(bool), ef, k, s.member_first, s.buffered_emission, codes)
+                    rows += [(qid, int(i), d) for d, i in found]
+                    for c in COUNTERS:
+                        counters[c].add(count[c])
+                columns = zip(*rows, strict=True) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "row_id", "d"])
+
+        made = self._stream(shards, self._filter(where, keys), passing).mapInArrow(search_shards, "qid long, row_id long, d double")
         best = Window.partitionBy("qid").orderBy("d", "row_id")
         ranked = made.select("qid", "row_id", "d", F.row_number().over(best).alias("rank"))
         return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -207,49 +289,63 @@ class GraphIndex:
         return base.join(F.broadcast(found), base[id] == found["row_id"]).drop("row_id").orderBy("d", id)
 
     # -- changes ----------------------------------------------------------------------------------------------------
-    def _publish(self, nodes: DataFrame, **changes) -> GraphIndex:
+    def _publish(self, table: str, content: DataFrame, **changes) -> GraphIndex:
+        """A version whose `table` (nodes or gone) has this content."""
         version = max(self.store.versions()) + 1
-        nodes.write.mode("overwrite").parquet(self.store.folder(version, "nodes"))
-        self.store.publish({**self.manifest, "version": version, **changes})
-        cache.invalidate(self.name)
+        content.write.mode("overwrite").parquet(self.store.folder(version, table))
+        changes = {k: v() if callable(v) else v for k, v in changes.items()}
+        self.store.publish({**self.manifest, "version": version, table: version, **changes})
         return GraphIndex(self.spark, self.store.path, version)
 
-    def insert(self, df: DataFrame, id: str = "id", vec: str = "embedding", filter: str | None = "bucket") -> GraphIndex:
-        """A version with the rows of df in the graphs of their shards."""
+    def insert(self, df: DataFrame, id: str = "id", vec: str = "embedding", filter: str | None = "bucket", **extra) -> GraphIndex:
+        """A version with the rows of df in the graphs of their shards. extra:
+        entries of the manifest that change with it."""
         o, dim = self.options, self.manifest["dim"]
+        extra = {k: self.manifest[k] for k in ("feeds",) if k in self.manifest} | extra
         if dim is None:
-            return GraphIndex.build(df, self.store.path, o, id, vec, filter)
+            return GraphIndex.build(df, self.store.path, o, id, vec, filter, **extra)
         rows = _rows(df, id, vec, filter, o)
         n, least, most = rows.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
         if n and (least != dim or most != dim):
             raise ValueError(f"different vector dimensions {dim} and {most if most != dim else least}")
         if self.manifest["rows"] + n > 2 * self.manifest["shards"] * o.shard_rows:  # shards would outgrow their bound: deal out anew
-            return GraphIndex.build(self._live().unionByName(rows.select(F.col("row_id").alias("id"), F.col("vec").alias("embedding"), F.col("filter_val").alias("bucket"))), self.store.path, o)
-        new = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.manifest["shards"])).cast("int"))
-        gated, version = set(self.manifest["gated"]), self.version
-
-        def merge(key: tuple, old: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-            shard = int(key[0])
-            seed = _seed(o, shard, version)
-            g = _unpack(old, o, seed) if len(old) else ShardGraph(o, dim, seed)
-            if len(more):
-                more = more.sort_values("row_id", kind="stable")
-                g.add(more["row_id"], [None if pd.isna(f) else int(f) for f in more["filter_val"]], more["vec"].tolist(), gated)
+            return GraphIndex.build(self._live().unionByName(rows.select(F.col("row_id").alias("id"), F.col("vec").alias("embedding"), F.col("filter_val").alias("bucket"))), self.store.path, o, **extra)
+        return self._rewrite(rows, rows=self.manifest["rows"] + n, **extra)
+
+    def _rewrite(self, new_rows: DataFrame | None, **changes) -> GraphIndex:
+        """Shards with the deletions so far marked, and then new rows (row_id,
+        filter_val, vec) added."""
+        o, dim, gated, version = self.options, self.manifest["dim"], set(self.manifest["gated"]), self.version
+        own = F.pmod(F.xxhash64("row_id"), F.lit(self.manifest["shards"])).cast("int").alias("shard")
+        parts = [] if new_rows is None else [new_rows.select(own, "row_id", "filter_val", "vec", F.lit(False).alias("gone"))]
+        if self.gone is not None:
+            parts.append(self.gone.select(own, "row_id", F.lit(None).cast("long").alias("filter_val"), F.lit(None).cast("array<double>").alias("vec"), F.lit(True).alias("gone")))
+        new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+        def merge(key: tuple, old: pa.Table, more: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            seed, flag = _seed(o, shard, version), more.column("gone")
+            gone = set(more.filter(flag).column("row_id").to_pylist())
+            g = _open(old, o, seed, gone) if old.num_rows else ShardGraph(o, dim, seed)
+            _add(g, more.filter(pc.invert(flag)), gated)
             return _pack(g, shard)
 
-        merged = self.nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(merge, NODES)
-        return self._publish(merged, rows=self.manifest["rows"] + n)
+        merged = self.shards.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(merge, SHARDS)
+        return self._publish("nodes", merged, gone=None, **changes)
 
     def delete(self, ids: DataFrame, id: str = "id") -> GraphIndex:
         """A version in which these rows are no results; they stay as bridges.
+        Only their ids are written, until they are more than SMALL_ROWS.
         `manifest['deleted']` counts the dead nodes."""
-        gone = ids.select(F.col(id).alias("row_id")).distinct().withColumn("_gone", F.lit(True))
-        nodes = self.nodes.join(gone, "row_id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False)))
-        out = self._publish(nodes.select(*self.nodes.columns))
-        out.manifest["deleted"] = out.nodes.where("deleted").count()
-        out.store.fs.delete(out.store._path(f"{out.store.path}/manifest-{out.version:08d}.json"), False)
-        out.store.publish(out.manifest)
-        return out
+        if self.manifest["dim"] is None:
+            return self
+        asked = ids.select(F.col(id).cast("long").alias("row_id")).distinct()
+        live = self._stream(self.shards, F.lit(True), None).where("NOT deleted").select("row_id")
+        hit = live.join(asked, "row_id", "left_semi").cache()
+        gone = hit.distinct() if self.gone is None else hit.unionAll(self.gone).distinct()
+        out = self._publish("gone", gone, deleted=lambda: self.manifest["deleted"] + hit.count())
+        hit.unpersist()
+        return out._rewrite(None) if out.gone.count() > SMALL_ROWS else out
 
     def update(self, df: DataFrame, id: str = "id", vec: str = "embedding", filter: str | None = "bucket") -> GraphIndex:
         return self.delete(df, id).insert(df, id, vec, filter)
@@ -259,7 +355,7 @@ class GraphIndex:
 
     def compact(self) -> GraphIndex:
         """Build anew without the deleted nodes."""
-        return GraphIndex.build(self._live(), self.store.path, self.options)
+        return GraphIndex.build(self._live(), self.store.path, self.options, **{k: self.manifest[k] for k in ("feeds",) if k in self.manifest})
 
     def drop(self) -> None:
         cache.invalidate(self.name)
@@ -267,10 +363,40 @@ class GraphIndex:
 
     def vacuum(self, keep: int = 1) -> dict:
         """Remove all versions but the last `keep`; (versions removed, nodes, dead)."""
-        old = self.store.versions()[:-keep]
+        old, kept = self.store.versions()[:-keep], self.store.versions()[-keep:]
+        used = {(m[t], t) for m in map(self.store.read, kept) for t in ("nodes", "gone") if m[t] is not None}
         for v in old:
-            self.store.drop(v)
-        return {"versions_removed": len(old), "nodes": self.nodes.count(), "deleted": self.manifest["deleted"]}
+            self.store.drop(v, [t for t in ("nodes", "gone") if (v, t) not in used])
+        return {"versions_removed": len(old), "nodes": self.shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "deleted": self.manifest["deleted"]}
+
+    def cursor(self, q, where: Column | None = None, passing: DataFrame | None = None, keys: list[tuple[str, int]] | None = None, **options) -> Cursor:
+        return Cursor(self, q, {"where": where, "passing": passing, "keys": keys}, options)
+
+
+class Cursor:
+    """A search that can be gone on with. Each fetch gives the nearest rows that
+    weren't given before; the budget grows while it finds too few of them."""
+
+    def __init__(self, index: GraphIndex, q, filters: dict, options: dict):
+        self.index, self.filters, self.options = index, filters, options
+        self.rescan(q)
+
+    def rescan(self, q) -> None:
+        """Begin again, with another query vector."""
+        self.q, self.given = q, []
+        self.ef = SearchOptions.of(self.index.spark, **self.options).ef_search
+
+    def fetch(self, n: int) -> list[tuple[int, float]]:
+        """Up to n further rows (row_id, d)."""
+        rows = max(1, self.index.manifest["rows"])
+        given = set(self.given)
+        while True:
+            found = self.index.search(self.q, len(given) + n, **self.filters, **{**self.options, "ef_search": min(self.ef, 10_000_000), "target_recall": 0.0}).collect()
+            new = [(r.row_id, r.d) for r in found if r.row_id not in given][:n]
+            if len(new) == n or self.ef >= rows:
+                self.given += [i for i, _ in new]
+                return new
+            self.ef *= 2
 
 
 def _rows(df: DataFrame, id: str, vec: str, filter: str | None, o: IndexOptions) -> DataFrame:

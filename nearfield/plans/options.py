@@ -30,9 +30,10 @@ class IndexOptions:
     metric: str = "l2"
     build_seed: int = -1
     shard_rows: int = 50_000
+    build_mb: int = 0  # memory for one shard's build, 0 for no bound; smaller shards are built if needed
 
     def __post_init__(self):
-        for name, low, high in (("m", 2, 100), ("ef_construction", 4, 1000), ("gamma", 1, 8), ("payload_m", 0, 200), ("payload_min_cardinality", 0, 1_000_000), ("build_seed", -1, 2**31 - 1), ("shard_rows", 1, 10_000_000)):
+        for name, low, high in (("m", 2, 100), ("ef_construction", 4, 1000), ("gamma", 1, 8), ("payload_m", 0, 200), ("payload_min_cardinality", 0, 1_000_000), ("build_seed", -1, 2**31 - 1), ("shard_rows", 1, 10_000_000), ("build_mb", 0, 1 << 20)):
             _range(name, getattr(self, name), low, high)
         if self.m * self.gamma > MAX_DEGREE:
             warnings.warn(f"m * gamma = {self.m * self.gamma} is above {MAX_DEGREE}; {MAX_DEGREE} is used", stacklevel=3)
@@ -48,6 +49,11 @@ class IndexOptions:
         payload edges, else any."""
         return min(self.payload_m or self.degree, MAX_LAYER0 - self.degree)
 
+    def bytes_per_row(self, dim: int) -> int:
+        """What a row takes while a graph is built: its vector and, as Python
+        numbers, its links."""
+        return 8 * dim + 40 * (self.degree + self.payload_degree) + 500
+
     as_dict = asdict
 
 

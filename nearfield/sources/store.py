@@ -44,10 +44,11 @@ class Store:
         if not self.fs.rename(part, target):
             raise FileExistsError(f"version {manifest['version']} was published by another writer")
 
-    def drop(self, version: int | None = None) -> None:
-        """Remove one version, or the whole index."""
+    def drop(self, version: int | None = None, tables: list[str] | None = None) -> None:
+        """Remove one version (of its tables only these, if given), or the whole index."""
         if version is None:
             self.fs.delete(self._path(self.path), True)
             return
         self.fs.delete(self._path(f"{self.path}/manifest-{version:08d}.json"), False)
-        self.fs.delete(self._path(f"{self.path}/v{version:08d}"), True)
+        for folder in [f"v{version:08d}"] if tables is None else [f"v{version:08d}/{t}" for t in tables]:
+            self.fs.delete(self._path(f"{self.path}/{folder}"), True)

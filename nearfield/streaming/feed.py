@@ -1,8 +1,10 @@
 """A stream of new rows into an index.
 
 Micro-batches are appended to a delta table next to the index; queries read the
-graph and the delta together, exactly for the delta. `merge` moves the delta into
-the graphs as a batch job.
+graph and the delta together, exactly for the delta. `merge` moves the batches
+that are there into the graphs as a batch job; their names are in the manifest of
+the version that has them, so a batch counts once, whenever it lands and wherever
+a merge is broken off.
 """
 
 from __future__ import annotations
@@ -31,14 +33,27 @@ class Feed:
 
         return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+    def _batches(self) -> list[int]:
+        """Finished batches that no version of the index has."""
+        root = self.index.store._path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
+        done = {p.getName()[6:] for p in names if fs.exists(self.index.store._path(p, "_SUCCESS"))}
+        return sorted(set(map(int, done)) - set(self._merged()))
+
+    def _merged(self) -> list[int]:
+        return GraphIndex(self.spark, self.index.store.path).manifest.get("feeds", {}).get(self.path, [])
+
     @property
     def delta(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(DELTA).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], DELTA)
-            raise
+        return self._read(self._batches())
+
+    def _read(self, batches: list[int]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], DELTA)
+        return self.spark.read.schema(DELTA).option("basePath", self.path).parquet(*(f"{self.path}/batch={b}" for b in batches))
 
     def search(self, q, k: int = 10, where: Column | None = None, keys: list[tuple[str, int]] | None = None, **options) -> DataFrame:
         near = self.index.search(q, k, where, keys=keys, **options)
@@ -46,8 +61,13 @@ class Feed:
         return near.unionByName(new).orderBy("d", "row_id").limit(k)
 
     def merge(self) -> GraphIndex:
-        """Insert the delta and empty it."""
-        self.index = self.index.insert(self.delta, "row_id", "vec", "filter_val")
-        p = self.index.store._path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Insert the batches that have landed, by name, then delete them."""
+        batches, merged = self._batches(), self._merged()
+        if batches:
+            index = GraphIndex(self.spark, self.index.store.path)
+            feeds = {**index.manifest.get("feeds", {}), self.path: sorted({*merged, *batches})}
+            self.index = index.insert(self._read(batches), "row_id", "vec", "filter_val", feeds=feeds)
+        for b in {*merged, *batches}:  # of merges that were broken off, too
+            p = self.index.store._path(f"{self.path}/batch={b}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         return self.index
