@@ -1,8 +1,8 @@
 """Every operator as a query over the `embeddings` table, with equivalent SQL.
 
-items: id = vec_id, bucket = label, fine = vec_id % 100, category = shoes or other.
-The query vector is that of row 0, a batch those of rows 0 to 9. Distances are
-rounded to 6 places after ordering.
+items: id = vec_id, bucket = label, fine = vec_id % 100, category = plain, ribbed or
+woven. The query vector is that of row 0, a batch those of all rows whose id is
+divisible by 20. Distances are rounded to 6 places after ordering.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ ORACLE: dict[str, str] = {}
 K = 10
 
 ITEMS = """items AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label AS bucket, CAST(vec_id % 100 AS INTEGER) AS fine,
-    CASE WHEN vec_id % 5 = 0 THEN 'shoes' ELSE 'other' END AS category FROM embeddings), q AS (SELECT e AS v FROM items WHERE id = 0)"""
-BATCH = ITEMS + ", qs AS (SELECT id AS qid, e AS v FROM items WHERE id < 10)"
+    CASE vec_id % 3 WHEN 0 THEN 'ribbed' WHEN 1 THEN 'plain' ELSE 'woven' END AS category FROM embeddings), q AS (SELECT e AS v FROM items WHERE id = 0)"""
+BATCH = ITEMS + ", qs AS (SELECT id AS qid, e AS v FROM items WHERE id % 20 = 0)"
 SQL_DISTANCE = {
     "l2": "list_distance(e, v)", "sql2": "list_sum(list_transform(list_zip(e, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "ip": "list_negative_inner_product(e, v)",
     "cosine": "list_cosine_distance(e, v)", "l1": "list_sum(list_transform(list_zip(e, v), lambda p: abs(p[1] - p[2])))",
@@ -41,7 +41,7 @@ CODES = """p AS (SELECT *, (list_max(e) - list_min(e)) / 255 AS scale, list_min(
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").alias("bucket"), (F.col("vec_id") % 100).cast("int").alias("fine"),
-        F.when(F.col("vec_id") % 5 == 0, "shoes").otherwise("other").alias("category"),
+        F.when(F.col("vec_id") % 3 == 0, "ribbed").when(F.col("vec_id") % 3 == 1, "plain").otherwise("woven").alias("category"),
     )
 
 
@@ -51,7 +51,7 @@ def query_vector(spark: SparkSession, sf_dir: str, id: int = 0) -> list[float]:
 
 
 def batch(df: DataFrame) -> DataFrame:
-    return df.where("id < 10").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    return df.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def d6(c: Column | str = "d") -> Column:
@@ -86,11 +86,11 @@ for _kind in ("int2", "int8"):
     for _op, _name in (("<", "lt"), ("<=", "le"), ("=", "eq"), (">=", "ge"), (">", "gt")):
         _knn(f"knn_{_kind}_{_name}", "l2", lambda op=_op, kind=_kind: compare("bucket", op, 4, kind), f"bucket {_op} 4")
 for _op, _name in (("<", "lt"), ("<=", "le"), ("=", "eq"), (">=", "ge"), (">", "gt")):
-    _knn(f"knn_text_{_name}", "l2", lambda op=_op: compare("category", op, "shoes", "text"), f"category {_op} 'shoes'")
+    _knn(f"knn_text_{_name}", "l2", lambda op=_op: compare("category", op, "ribbed", "text"), f"category {_op} 'ribbed'")
 _knn("knn_unfiltered", "l2", None, "true")
 _knn("knn_range_conj", "l2", lambda: conjunction([("bucket", ">=", 2), ("bucket", "<", 6), ("fine", "<", 60)]), "bucket >= 2 AND bucket < 6 AND fine < 60")
 _knn("knn_no_keys", "l2", lambda: conjunction([]), "true")
-_knn("knn_expr_predicate", "l2", lambda: (F.col("id") % 7 == 1) | F.col("bucket").isin(2, 3) & ~(F.col("category") == "shoes"), "id % 7 = 1 OR (bucket IN (2, 3) AND NOT category = 'shoes')")
+_knn("knn_expr_predicate", "l2", lambda: (F.col("id") % 7 == 1) | F.col("bucket").isin(2, 3) & ~(F.col("category") == "ribbed"), "id % 7 = 1 OR (bucket IN (2, 3) AND NOT category = 'ribbed')")
 _knn("knn_pushdown_defeated", "l2", lambda: F.col("bucket") + 0 < 3, "bucket + 0 < 3")
 _knn("knn_null_filter", "l2", lambda: F.when(F.col("fine") < 50, F.col("bucket")) < 5, "CASE WHEN fine < 50 THEN bucket END < 5")
 _knn("knn_offset", "l2", lambda: F.col("bucket") < 5, "bucket < 5", offset=7)
@@ -104,11 +104,11 @@ def vector_norm(spark, sf_dir):
     return items(spark, sf_dir).select("id", d6(metrics.norm("embedding")))
 
 
-@query(f"WITH {BATCH} SELECT qid, id, round(list_distance(e, v), 6) + 0.0 AS l2, round(list_negative_inner_product(e, v), 6) + 0.0 AS ip, round(list_cosine_distance(e, v), 6) + 0.0 AS cosine, round({SQL_DISTANCE['l1']}, 6) + 0.0 AS l1 FROM items, qs WHERE fine < 30")
-def pairwise_distance(spark, sf_dir):
-    df = items(spark, sf_dir)
-    pairs = df.where("fine < 30").join(F.broadcast(batch(df)), how="cross")
-    return pairs.select("qid", "id", *((F.round(metrics.resolve(op).distance("embedding", "q"), 6) + 0.0).alias(n) for op, n in (("<->", "l2"), ("<#>", "ip"), ("<=>", "cosine"), ("<+>", "l1"))))
+@query(f"WITH {ITEMS} SELECT id, round(list_distance(e, v), 6) + 0.0 AS l2, round(list_negative_inner_product(e, v), 6) + 0.0 AS ip, round(list_cosine_distance(e, v), 6) + 0.0 AS cosine, round({SQL_DISTANCE['l1']}, 6) + 0.0 AS l1 FROM items, q")
+def all_distances(spark, sf_dir):
+    """Every metric between each row and the query vector."""
+    q = query_vector(spark, sf_dir)
+    return items(spark, sf_dir).select("id", *((F.round(metrics.resolve(op).distance("embedding", q), 6) + 0.0).alias(n) for op, n in (("<->", "l2"), ("<#>", "ip"), ("<=>", "cosine"), ("<+>", "l1"))))
 
 
 _BATCH_SQL = f"WITH {BATCH}, d AS (SELECT qid, id, {SQL_DISTANCE['l2']} AS d FROM items, qs WHERE bucket < 3) SELECT qid, id, round(d, 6) + 0.0 AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM d) WHERE rank <= 10"
@@ -268,7 +268,7 @@ def payload_gate_partitions(spark, sf_dir):
     return partition_counts(spark, sf_dir).where("n < 2")
 
 
-@query("SELECT category AS value, row_number() OVER (ORDER BY category) AS code FROM (SELECT DISTINCT CASE WHEN vec_id % 5 = 0 THEN 'shoes' ELSE 'other' END AS category FROM embeddings)")
+@query("SELECT category AS value, row_number() OVER (ORDER BY category) AS code FROM (SELECT DISTINCT CASE vec_id % 3 WHEN 0 THEN 'ribbed' WHEN 1 THEN 'plain' ELSE 'woven' END AS category FROM embeddings)")
 def text_dictionary(spark, sf_dir):
     return dictionary(items(spark, sf_dir), "category")
 
@@ -277,7 +277,11 @@ def text_dictionary(spark, sf_dir):
 
 
 def _path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/nearfield-index-{uuid.uuid4().hex}"
 
 
@@ -308,7 +312,7 @@ _graph("graph_unfiltered_exhaustive", ORACLE["knn_unfiltered"], None)
 def graph_any_predicate_exhaustive(spark, sf_dir):
     """A predicate on columns that aren't in the index."""
     df = items(spark, sf_dir)
-    passing = df.where((F.col("id") % 7 == 1) | F.col("bucket").isin(2, 3) & ~(F.col("category") == "shoes")).select("id")
+    passing = df.where((F.col("id") % 7 == 1) | F.col("bucket").isin(2, 3) & ~(F.col("category") == "ribbed")).select("id")
     return _build(spark, sf_dir).search(query_vector(spark, sf_dir), K, passing=passing, ef_search=10_000_000).select(F.col("row_id").alias("id"), d6())
 
 
@@ -318,7 +322,7 @@ def graph_batch_exhaustive(spark, sf_dir):
     return _build(spark, sf_dir, gamma=2).search_batch(batch(df), K, F.col("filter_val") < 3, ef_search=10_000_000).select("qid", F.col("row_id").alias("id"), d6(), "rank")
 
 
-@query("SELECT qid, true AS same FROM range(10) AS t(qid)")
+@query("SELECT vec_id AS qid, true AS same FROM embeddings WHERE vec_id % 20 = 0")
 def graph_cache_on_equals_off(spark, sf_dir):
     df = items(spark, sf_dir)
     index = _build(spark, sf_dir)
@@ -395,14 +399,14 @@ def bulk_load_counts(spark, sf_dir):
 # -- evaluation ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT qid, true AS monotone FROM range(10) AS t(qid)")
+@query("SELECT vec_id AS qid, true AS monotone FROM embeddings WHERE vec_id % 20 = 0")
 def emission_monotone(spark, sf_dir):
     df = items(spark, sf_dir)
     found = _build(spark, sf_dir).search_batch(batch(df), K, F.col("filter_val") < 5, ef_search=40)
     return evaluate.order_check(found)
 
 
-@query("SELECT true AS all_pass, CAST(100 AS BIGINT) AS n")
+@query("SELECT true AS all_pass, 10 * count(*) AS n FROM embeddings WHERE vec_id % 20 = 0")
 def filter_correct(spark, sf_dir):
     df = items(spark, sf_dir)
     found = _build(spark, sf_dir).search_batch(batch(df), K, F.col("filter_val") < 5, ef_search=200)
@@ -498,6 +502,37 @@ def three_way_comparison(spark, sf_dir):
     return evaluate.compare_runs({f"m{m}": _post_found(df, m) for m in (2, 5, 10)}, truth, K)
 
 
+def _target_recall(spark, sf_dir, target: float, grow: bool) -> DataFrame:
+    """(sel, reached): whether searches with a recall target, on several shards,
+    reach it within 0.03 at filters that 1, 5, 10 and 20 % of the rows pass."""
+    df = items(spark, sf_dir)
+    options = IndexOptions(build_seed=1, gamma=2, ef_construction=32, shard_rows=500)
+    first = df.where("id % 3 = 0") if grow else df
+    index = GraphIndex.build(first, _path(spark), options, filter="fine")
+    for part in (1, 2) if grow else ():
+        index = index.insert(df.where(f"id % 3 = {part}"), filter="fine")
+    asked, out = batch(df), None
+    for sel in (1, 5, 10, 20):
+        want = exact.knn_batch(df, asked, K, F.col("fine") < sel, strategy="loop")
+        found = index.search_batch(asked, K, keys=[("<", sel)], target_recall=target).withColumnRenamed("row_id", "id")
+        part = evaluate.recall_summary(evaluate.recall(found, want, K, of_truth=True)).select(F.lit(sel).cast("long").alias("sel"), (F.col("mean_recall") >= target - 0.03).alias("reached"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+for _t in (90, 95, 99):
+    query("SELECT sel, true AS reached FROM (VALUES (CAST(1 AS BIGINT)), (5), (10), (20)) AS t(sel)", f"graph_target_recall_{_t}")(lambda spark, sf_dir, t=_t: _target_recall(spark, sf_dir, t / 100, False))
+query("SELECT sel, true AS reached FROM (VALUES (CAST(1 AS BIGINT)), (5), (10), (20)) AS t(sel)", "graph_target_recall_after_inserts")(lambda spark, sf_dir: _target_recall(spark, sf_dir, 0.95, True))
+
+
+@query(f"WITH {ITEMS} SELECT CAST(row_number() OVER (ORDER BY d, id) AS BIGINT) AS rank, id, round(d, 6) + 0.0 AS d FROM (SELECT id, list_distance(e, v) AS d FROM items, q WHERE bucket < 3 ORDER BY d, id LIMIT 25)")
+def graph_cursor_exhaustive(spark, sf_dir):
+    """Five fetches of five rows of one search."""
+    cursor = _build(spark, sf_dir).cursor(query_vector(spark, sf_dir), keys=[("<", 3)], ef_search=10_000_000)
+    rows = [(i, d) for _ in range(5) for i, d in cursor.fetch(5)]
+    return spark.createDataFrame([(n + 1, i, d) for n, (i, d) in enumerate(rows)], "rank long, id long, d double").select("rank", "id", d6())
+
+
 @query("SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS unreached FROM embeddings")
 def graph_reachability(spark, sf_dir):
     found = _build(spark, sf_dir, shard_rows=200, gamma=2).reachability()
