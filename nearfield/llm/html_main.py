@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import materialize
 
 LEAST_IMPORTANCE, LEAST_IN_ARTICLE, LEAST_PAGES, SHARE = 0.4, 0.1, 4, 0.9
-BROADCAST_ROWS = 200_000  # (host, node) rows; beyond it the join shuffles
+BROADCAST_ROWS = 200_000  # (host, node, importance) rows that are sent to every executor; beyond it a join shuffles
 
 #: Elements that never hold a page's main text.
 NOISE_TAGS = frozenset("head title nav header footer aside form script style noscript template iframe object embed svg canvas button select option datalist textarea input dialog menu audio video map math".split())
@@ -335,10 +335,15 @@ def main_text(page: str | None, tree: dict[int, float], least: float = LEAST_IMP
     return " ".join(b.text for b, gone in zip(p.blocks, text, strict=True) if not gone)
 
 
-def _texts(least: float, least_in_article: float):
+def _texts(least: float, least_in_article: float, trees=None):
+    """Rows (page_id, url, html, host, or nodes and values of its tree) -> texts.
+    trees: a broadcast of all hosts' trees."""
+
     def texts(batches):
+        known = trees.value if trees is not None else {}
         for pdf in batches:
-            text = [main_text(page, dict(zip(nodes, values, strict=True)) if nodes is not None else {}, least, least_in_article) for page, nodes, values in zip(pdf["html"], pdf["_nodes"], pdf["_values"], strict=True)]
+            each = (known.get(h, {}) for h in pdf["host"]) if trees is not None else (dict(zip(n, v, strict=True)) if n is not None else {} for n, v in zip(pdf["_nodes"], pdf["_values"], strict=True))
+            text = [main_text(page, tree, least, least_in_article) for page, tree in zip(pdf["html"], each, strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
 
     return texts
@@ -351,7 +356,14 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
     page = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
     known, _ = materialize(style_tree(page).where((F.col("pages") >= least_pages) & (F.col("importance") < 1)).select("host", "node", "importance"), "tree")
-    by_host = known.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("_t")).select("host", F.col("_t.node").alias("_nodes"), F.col("_t.importance").alias("_values"))
-    by_host = F.broadcast(by_host) if known.count() <= BROADCAST_ROWS else by_host
-    out = page.join(by_host, "host", "left").select("page_id", "url", "html", "_nodes", "_values").mapInPandas(_texts(least, least_in_article), "page_id string, url string, text string")
+    spec = "page_id string, url string, text string"
+    if known.count() <= BROADCAST_ROWS:
+        trees: dict[str, dict[int, float]] = {}
+        for r in known.collect():
+            trees.setdefault(r.host, {})[r.node] = r.importance
+        out = page.select("page_id", "url", "html", "host").mapInPandas(_texts(least, least_in_article, pages.sparkSession.sparkContext.broadcast(trees)), spec)
+    else:
+        by_host = known.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("_t")).select("host", F.col("_t.node").alias("_nodes"), F.col("_t.importance").alias("_values"))
+        by_host, _ = materialize(by_host, "trees")  # a table: the pages of a hot host can then be split in the join
+        out = page.join(by_host, "host", "left").select("page_id", "url", "html", "_nodes", "_values").mapInPandas(_texts(least, least_in_article), spec)
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
