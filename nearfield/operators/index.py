@@ -405,7 +405,17 @@ def _rows(df: DataFrame, id: str, vec: str, filter: str | None, o: IndexOptions)
     return rows.where(metrics.norm("vec") > 0) if o.metric == "cosine" else rows
 
 
-def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): a text filter's codes, in the order of the text, so that
-    comparisons of texts become comparisons of codes."""
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
+def dictionary(df: DataFrame, column: str, ranges: int = 256) -> DataFrame:
+    """(value, code): a text filter's codes, 1, 2, ... in the order of the text, so
+    that comparisons of texts become comparisons of codes. Values are numbered
+    within ranges, between splitters from a bounded sample of them."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    splitters = sorted(r.value for r in values.orderBy(F.xxhash64("value")).limit(ranges - 1).collect())
+    if not splitters:
+        return values.withColumn("code", F.lit(1).cast("long"))
+    below = F.size(F.filter(F.array(*map(F.lit, splitters)), lambda s: s <= F.col("value")))
+    dealt = values.select("value", F.explode(F.array(below)).alias("_range"))  # explode() keeps the optimizer from moving the expression into the window
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_base"))
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy("value")))
+    return numbered.join(F.broadcast(base), "_range").select("value", (F.col("_base") + F.col("_at")).cast("long").alias("code"))

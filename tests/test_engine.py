@@ -339,6 +339,9 @@ def test_sources(spark, tmp_path):
 def test_dictionary_and_evaluation(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "t string")
     assert {(r.value, r.code) for r in dictionary(df, "t").collect()} == {("a", 1), ("b", 2)}
+    many = spark.createDataFrame([(f"v{i * 7919 % 1000}",) for i in range(2000)], "t string")
+    assert [(r.value, r.code) for r in dictionary(many, "t", ranges=16).orderBy("code").collect()] == [(v, n + 1) for n, v in enumerate(sorted({f"v{i}" for i in range(1000)}))]
+    assert dictionary(many.limit(0), "t").collect() == []
     found = spark.createDataFrame([(1, 5, 1, 0.1), (1, 6, 2, 0.05), (2, 7, 1, 0.3)], "qid long, id long, rank int, d double")
     assert {(r.qid, r.monotone) for r in evaluate.order_check(found).collect()} == {(1, False), (2, True)}
     assert tuple(evaluate.filter_check(found, F.col("id") < 7).first()) == (False, 3)
