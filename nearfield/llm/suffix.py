@@ -11,7 +11,8 @@ need to be compared only where a run begins. A suffix's leading tokens are the
 hash of the run's anchor and that of all bytes of the run with what its windows
 reach; 50 bytes of text give about one suffix of 32 bytes.
 
-1. Splitters from a bounded sample range-partition the suffixes by their leading
+1. Splitters from a bounded sample of all suffixes (Spark's range partitioner,
+   over a written table of them) range-partition the suffixes by their leading
    tokens (and, among equal ones, by a hash of their place, so that a hot passage
    is dealt out over many buckets). A bucket is sorted by multikey quicksort and
    compared neighbour by neighbour; one summary row per bucket, of the tokens at
@@ -42,7 +43,6 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import drop_path, materialize, tidy
 
 LENGTH, GRAM, PIECE = 200, 64, 8
-SAMPLE_DOCS, SAMPLE_ROWS = 2_000, 200  # documents that splitters are sampled from, and sampled suffixes for each bucket
 BUCKET_ROWS = 2_000_000  # suffixes that a bucket is planned for
 BLOCK = 1 << 19  # windows handled at a time
 BROADCAST_ROWS = 1_000_000
@@ -149,27 +149,7 @@ def _pack(start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarra
     return start << 24 | count << 12 | offset
 
 
-TOKENS = "part int, h long, ctx long, r long, a long, b long, c long"
-
-
-def bucket_of(splitters: list[tuple[int, int, int]], keys: list[np.ndarray]) -> np.ndarray:
-    """How many splitters are at or below each row, by all keys in order."""
-    at = np.zeros(len(keys[0]), np.int64)
-
-    def place(rows: np.ndarray, low: int, high: int, depth: int) -> None:
-        of = np.array([s[depth] for s in splitters[low:high]], np.int64)
-        own = keys[depth][rows]
-        left, right = np.searchsorted(of, own, "left") + low, np.searchsorted(of, own, "right") + low
-        at[rows] = right
-        if depth + 1 < len(keys):  # rows that tie with splitters: the next key decides
-            tie = np.flatnonzero(left < right)
-            for value in np.unique(left[tie]).tolist():
-                some = tie[left[tie] == value]
-                place(rows[some], value, int(right[some[0]]), depth + 1)
-
-    if splitters and len(at):
-        place(np.arange(len(at)), 0, len(splitters), 0)
-    return at
+TOKENS = ["h", "ctx", "r", "a", "b", "c"]
 
 
 def multikey(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +177,13 @@ def _bucket(batches):
     """A bucket's suffixes -> those that are repeated, or open (of a group h with
     different ctx, some seen once) or at an edge of the bucket, and a note of what
     is at the edges."""
-    names = ["r", "a", "b", "c", "same", "open", "first", "edge", "part", "note"]
+    from pyspark import TaskContext
+
+    names, part = ["r", "a", "b", "c", "same", "open", "first", "edge", "part", "note"], TaskContext.get().partitionId()
     columns = [np.concatenate(x) for x in zip(*([c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows), strict=True)]
     if not columns:
         return
-    part, h, ctx, *payload = columns
-    part = int(part[0])
+    h, ctx, *payload = columns
     order, common = multikey([h, ctx])
     h, ctx, payload = h[order], ctx[order], [p[order] for p in payload]
     n = len(order)
@@ -266,19 +247,16 @@ def across(notes: list[dict]) -> list[tuple]:
     return out
 
 
-def _sorted(source: DataFrame, rows, column: str, each: int, name: str) -> DataFrame:
-    """The suffixes that `rows` (a function of splitters) makes of source, one for
-    about `each` bytes of a column, sorted: (r, a, b, c, same, open, first) of
-    those that are repeated or open; first: the one that stands for all that
-    equal it."""
+def _sorted(source: DataFrame, rows, name: str) -> DataFrame:
+    """The suffixes that `rows` makes of source, sorted: (r, a, b, c, same, open,
+    first) of those that are repeated or open; first: the one that stands for
+    all that equal it."""
     spark = source.sparkSession
-    n, total = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each // BUCKET_ROWS))
-    sampled = source if n <= SAMPLE_DOCS else source.sample(SAMPLE_DOCS / n, seed=1)
-    some = sorted((r.h, r.ctx, r.r) for r in sampled.mapInArrow(rows([]), TOKENS).orderBy("r").limit(SAMPLE_ROWS * parts).select("h", "ctx", "r").collect())
-    splitters = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
-    dealt = source.mapInArrow(rows(splitters), TOKENS).repartitionById(max(1, len(splitters) + 1), "part")
+    suffixes, path = materialize(source.mapInArrow(rows, ", ".join(f"{c} long" for c in TOKENS)), f"{name}-suffixes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET_ROWS))
+    dealt = suffixes.repartitionByRange(parts, "h", "ctx", "r")
     bucketed, _ = materialize(dealt.mapInArrow(_bucket, "r long, a long, b long, c long, same boolean, open boolean, first boolean, edge int, part int, note string"), name)
+    drop_path(spark, path)
     notes = sorted((json.loads(r.note) for r in bucketed.where("note IS NOT NULL").select("note").collect()), key=lambda x: x["part"])  # one a bucket
     edges = F.broadcast(spark.createDataFrame(across(notes), "part int, same0 boolean, open0 boolean, same1 boolean, open1 boolean, goes_on boolean"))
     at = lambda bit: F.col("edge").bitwiseAND(bit) > 0
@@ -289,11 +267,9 @@ def _sorted(source: DataFrame, rows, column: str, each: int, name: str) -> DataF
     return d.select("r", "a", "b", "c", same.alias("same"), opened.alias("open"), first.alias("first")).where("same OR open")
 
 
-def _tokens(splitters: list, h: np.ndarray, ctx: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+def _tokens(h: np.ndarray, ctx: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     h, ctx = h.astype(np.uint64).view(np.int64), ctx.astype(np.uint64).view(np.int64)
-    r = name_of(a, b)
-    part = bucket_of(splitters, [h, ctx, r])
-    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x) for x in (h, ctx, r, a, b, c))], names=["part", "h", "ctx", "r", "a", "b", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, name_of(a, b), a, b, c)], names=TOKENS)
 
 
 def name_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -305,19 +281,16 @@ def _runs(length: int):
     """Rows (row, text) -> the suffixes that begin where runs do: a is the row, b
     the run's place."""
 
-    def of(splitters: list):
-        def run(batches):
-            with np.errstate(over="ignore"):
-                for batch in batches:
-                    for at in range(0, batch.num_rows, 1000):
-                        few = batch.slice(at, 1000)
-                        text, start, count, offset, h, ctx = runs(_bytes(few.column(1)), length)
-                        yield _tokens(splitters, h, ctx, few.column(0).to_numpy()[text], _pack(start, count, offset), np.zeros(len(text), np.int64))
-            tidy()
-
-        return run
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    few = batch.slice(at, 1000)
+                    text, start, count, offset, h, ctx = runs(_bytes(few.column(1)), length)
+                    yield _tokens(h, ctx, few.column(0).to_numpy()[text], _pack(start, count, offset), np.zeros(len(text), np.int64))
+        tidy()
 
-    return of
+    return run
 
 
 def _contexts(length: int):
@@ -340,7 +313,7 @@ def _pieces(length: int, size: int):
     holds the windows whose distance to the anchor, divided by size, is `piece`;
     wanted: those of the PIECE-sized ones to cut, null for all."""
 
-    def cut(splitters, few):
+    def cut(few):
         place = few.column(1).to_numpy()
         data = few.column(2)
         edge = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
@@ -363,19 +336,16 @@ def _pieces(length: int, size: int):
         core = base[row] + offset[row] - size * q
         h = mix(hasher(core, core + length - size + 1) + q.astype(np.uint64))
         ctx = mix(hasher(base[row] + at, base[row] + at + n - 1 + length) + (distance * 65536 + n).astype(np.uint64))
-        return _tokens(splitters, h, ctx, few.column(0).to_numpy()[row], at, q << 12 | n)
+        return _tokens(h, ctx, few.column(0).to_numpy()[row], at, q << 12 | n)
 
-    def of(splitters: list):
-        def run(batches):
-            with np.errstate(over="ignore"):
-                for batch in batches:
-                    for at in range(0, batch.num_rows, 2000):
-                        yield cut(splitters, batch.slice(at, 2000))
-            tidy()
-
-        return run
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    yield cut(batch.slice(at, 2000))
+        tidy()
 
-    return of
+    return run
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -384,17 +354,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not 1 < length < 4096:
         raise ValueError("length must be from 2 to 4095")
     long = docs.where(F.octet_length("text") >= length)
-    level = _sorted(long.select("row", "text"), _runs(length), "text", 50, "level0")
+    level = _sorted(long.select("row", "text"), _runs(length), "level0")
     start, n = F.expr("shiftright(b, 24)"), F.expr("shiftright(b, 12) & 4095")
     whole = level.where("same").select(F.col("a").alias("row"), start.alias("start"), n.alias("n"))
     opened = level.where("open AND first")
     lists, _ = materialize(opened.groupBy(F.col("a").alias("_row")).agg(F.collect_list("b").alias("_places")), "lists")
     texts = _some(long, lists, "_row").join(lists, F.col("row") == F.col("_row"))
     cut, at_cut = materialize(texts.select("row", "text", "_places").mapInArrow(_contexts(length), "run long, place long, bytes binary").dropDuplicates(["run"]), "contexts")
-    level1 = _sorted(cut.withColumn("_want", F.lit(None).cast("array<long>")), _pieces(length, PIECE), "bytes", PIECE, "level1")
+    level1 = _sorted(cut.withColumn("_want", F.lit(None).cast("array<long>")), _pieces(length, PIECE), "level1")
     wanted, _ = materialize(level1.where("open AND first").groupBy(F.col("a").alias("_run")).agg(F.collect_set(F.expr("shiftright(c, 12)")).alias("_want")), "wanted")
     closer, at_closer = materialize(cut.join(wanted, F.col("run") == F.col("_run")).select("run", "place", "bytes", "_want"), "closer")
-    level2 = _sorted(closer, _pieces(length, 1), "bytes", 1, "level2")
+    level2 = _sorted(closer, _pieces(length, 1), "level2")
     drop_path(docs.sparkSession, at_cut, at_closer)
     parts = [x.where("same").select(F.col("a").alias("_run"), F.col("b").alias("_at"), F.expr("c & 4095").alias("n")) for x in (level1, level2)]
     single = opened.where("NOT same").select(F.col("r").alias("_run"), F.col("a").alias("row"), start.alias("_from"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -50,13 +51,15 @@ def test_against_brute_force(spark, length, monkeypatch):
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
 
 
-def test_buckets_and_boundaries():
+def test_buckets_and_boundaries(monkeypatch):
     """Sorting in buckets gives what one sort gives, wherever the splitters fall."""
     import json
 
     import pyarrow as pa
 
-    from nearfield.llm.suffix import _bucket, across, bucket_of, multikey
+    from pyspark import TaskContext
+
+    from nearfield.llm.suffix import _bucket, across, multikey
 
     rng = np.random.default_rng(5)
     for n, top, buckets in ((300, 4, 7), (300, 40, 5), (200, 1, 9), (40, 3, 30), (1, 1, 3)):
@@ -67,13 +70,13 @@ def test_buckets_and_boundaries():
         assert ranked == sorted(rows) and [0, *(0 if x[0] != y[0] else 1 + (x == y) for x, y in zip(ranked, ranked[1:], strict=False))] == common.tolist()
         every = sorted(zip(h.tolist(), ctx.tolist(), r.tolist(), strict=True))
         splitters = sorted(every[i] for i in rng.integers(0, n, buckets))
-        part = bucket_of(splitters, [h, ctx, r])
-        assert part.tolist() == [sum(s <= (a, b, c) for s in splitters) for a, b, c in zip(h.tolist(), ctx.tolist(), r.tolist(), strict=True)]
+        part = np.array([sum(s <= x for s in splitters) for x in zip(h.tolist(), ctx.tolist(), r.tolist(), strict=True)])
         made, notes = [], []
         for p in np.unique(part):
             at = np.flatnonzero(part == p)
-            columns = [part[at].astype(np.int32), h[at], ctx[at], r[at], at, at, at]
-            for batch in _bucket([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "h", "ctx", "r", "a", "b", "c"])]):
+            columns = [h[at], ctx[at], r[at], at, at, at]
+            monkeypatch.setattr(TaskContext, "get", lambda p=p: SimpleNamespace(partitionId=lambda: int(p)))
+            for batch in _bucket([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "ctx", "r", "a", "b", "c"])]):
                 for x in batch.to_pylist():
                     notes.append(json.loads(x["note"])) if x["note"] else made.append(x)
         sides = {x[0]: x[1:] for x in across(sorted(notes, key=lambda x: x["part"]))}
