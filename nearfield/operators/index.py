@@ -194,8 +194,8 @@ class GraphIndex:
         answer exactly where the graph finds fewer than k."""
         if q is None:
             return self.spark.createDataFrame([], "row_id long, d double")
-        asked = self.spark.createDataFrame([(0, [float(x) for x in q])], "qid long, q array<double>")
-        found = self.search_batch(asked, k, where, passing, keys, **options).select("row_id", "d").orderBy("d", "row_id")
+        found = self._found([(0, [float(x) for x in q])], k, where, passing, keys, **options).select("row_id", "d").orderBy("d", "row_id")
+        found = found if k is None else found.limit(k)
         if k is not None and on_short == "exact":
             found = found.cache()
             if found.count() < k:
@@ -248,12 +248,18 @@ class GraphIndex:
         return self._search_some(queries, k, where, passing, keys, **options)
 
     def _search_some(self, queries: DataFrame, k: int | None, where: Column | None, passing: DataFrame | None, keys: list[tuple[str, int]] | None, **options) -> DataFrame:
+        asked = [(int(r.qid), list(r.q)) for r in queries.where("q IS NOT NULL").select("qid", "q").collect()]
+        best = Window.partitionBy("qid").orderBy("d", "row_id")
+        ranked = self._found(asked, k, where, passing, keys, **options).select("qid", "row_id", "d", F.row_number().over(best).alias("rank"))
+        return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+    def _found(self, asked: list[tuple[int, list[float]]], k: int | None, where: Column | None, passing: DataFrame | None, keys: list[tuple[str, int]] | None, **options) -> DataFrame:
+        """qid, row_id, d: up to k rows of every shard for each query (qid, q)."""
         s = SearchOptions.of(self.spark, **options)
         if self.manifest["dim"] is None:
-            return self.spark.createDataFrame([], "qid long, row_id long, d double, rank int")
+            return self.spark.createDataFrame([], "qid long, row_id long, d double")
         ef = stats.budget(s.ef_search, s.target_recall, self.stats, keys or [])
         o, codes = self.options, s.use_codes or self.options.inline_codes
-        asked = [(int(r.qid), list(r.q)) for r in queries.where("q IS NOT NULL").select("qid", "q").collect()]
         for _, q in asked:
             if len(q) != self.manifest["dim"]:
                 raise ValueError(f"different vector dimensions {self.manifest['dim']} and {len(q)}")
@@ -275,10 +281,7 @@ class GraphIndex:
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "row_id", "d"])
 
-        made = self._stream(shards, self._filter(where, keys), passing).mapInArrow(search_shards, "qid long, row_id long, d double")
-        best = Window.partitionBy("qid").orderBy("d", "row_id")
-        ranked = made.select("qid", "row_id", "d", F.row_number().over(best).alias("rank"))
-        return ranked if k is None else ranked.where(F.col("rank") <= k)
+        return self._stream(shards, self._filter(where, keys), passing).mapInArrow(search_shards, "qid long, row_id long, d double")
 
     def knn(self, base: DataFrame, q, k: int = 10, keys: list[tuple[str, int]] | None = None, id: str = "id", **options) -> DataFrame:
         """By whichever path costs less, with all columns of base joined last."""
