@@ -128,15 +128,25 @@ class Shard:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _nth(self, k: int, one: int, j: int) -> int:
+        """Position of bit j (from 0) among the ones, or zeros, of plane k."""
+        ones = self._ranks[k]
+        upto = ones if one else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        block = int(np.searchsorted(upto, j, "right")) - 1
+        bits = np.unpackbits(self._planes[k][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == one)[j - int(upto[block])])
+
     def select(self, token: int, k: int) -> int:
-        """Position of occurrence k (from 0) of token."""
-        if not 0 <= k < self.count(token):
+        """Position of occurrence k (from 0) of token: its place after the last
+        level, led back through the planes."""
+        lo, hi = self._range(token, self.n)
+        if not 0 <= k < hi - lo:
             raise IndexError(k)
-        lo, hi = 0, self.n
-        while hi - lo > 1:  # the first k + 1 occurrences end at lo
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.rank(token, mid) <= k else (lo, mid)
-        return lo
+        at = lo + k
+        for level in range(self.levels - 1, -1, -1):
+            one = token >> (self.levels - 1 - level) & 1
+            at = self._nth(level, one, at - self.zeros[level] if one else at)
+        return at
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last level up."""
