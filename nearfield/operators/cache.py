@@ -31,6 +31,7 @@ class Entry:
     generation: int
     lastused: int
     state: str = "READY"  # or PARTIAL: as many shards as fit
+    codes: bool = False
     busy: int = 0
 
 
@@ -40,12 +41,14 @@ def shards(index, options) -> DataFrame:
     with _lock:
         _budget = options.cache_mb << 20
         found = _entries.get(index.name)
-        if found and found.version == index.version:
+        codes = options.use_codes and not index.options.inline_codes
+        if found and found.version == index.version and found.codes >= codes:
             found.lastused = next(_clock)
             _entries.move_to_end(index.name)
             return found.frame
         rows, dim, number = index.manifest["rows"], index.manifest["dim"] or 0, index.manifest["shards"]
-        need = rows * (8 * dim + 4 * (index.options.degree + index.options.payload_degree) + 64)
+        source = index.coded if codes else index.shards
+        need = rows * ((9 if codes else 8) * dim + 4 * (index.options.degree + index.options.payload_degree) + 64)
         part = number if need <= _budget else number * _budget // need
         if not part:
             return index.shards
@@ -56,9 +59,9 @@ def shards(index, options) -> DataFrame:
             if idle is None:
                 return index.shards
             evict(idle.name)
-        held = (index.shards if part == number else index.shards.where(f"shard < {part}")).persist()
-        frame = held if part == number else held.unionAll(index.shards.where(f"shard >= {part}"))
-        _entries[index.name] = Entry(index.name, index.version, frame, held, rows * part // number, need, next(_generation), next(_clock), "READY" if part == number else "PARTIAL")
+        held = (source if part == number else source.where(f"shard < {part}")).persist()
+        frame = held if part == number else held.unionAll(source.where(f"shard >= {part}"))
+        _entries[index.name] = Entry(index.name, index.version, frame, held, rows * part // number, need, next(_generation), next(_clock), "READY" if part == number else "PARTIAL", codes)
         return frame
 
 

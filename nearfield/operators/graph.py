@@ -241,7 +241,7 @@ class ShardGraph:
         return self._n - len(seen) if self.entry >= 0 else 0
 
     def encode(self) -> None:
-        lo, hi = self.vec.min(axis=1), self.vec.max(axis=1)
+        lo, hi = self.vec.min(axis=1).astype(np.float64), self.vec.max(axis=1).astype(np.float64)
         scale = (hi - lo) / 255
         codes = np.floor((self.vec - lo[:, None]) / np.where(scale > 0, scale, 1)[:, None] + 0.5)
         self.codes = (scale, lo, np.where(scale[:, None] > 0, codes, 0))
@@ -367,14 +367,17 @@ def _lists(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[n:], np.concatenate([[0], np.cumsum(whole[:n], dtype=np.int64)])
 
 
+def packed_codes(g: ShardGraph) -> bytes:
+    """Scales, lower ends and codes of all nodes."""
+    g.encode()
+    return g.codes[0].astype(np.float64).tobytes() + g.codes[1].astype(np.float64).tobytes() + g.codes[2].astype(np.uint8).tobytes()
+
+
 def pack(g: ShardGraph) -> dict:
     """A graph as one row of arrays and bytes."""
     small = g.vec[: g._n].astype(np.float32)
     vec = small if (small == g.vec[: g._n]).all() else g.vec[: g._n]
-    codes = b""
-    if g.o.inline_codes and g._n:
-        g.encode()
-        codes = g.codes[0].astype(np.float64).tobytes() + g.codes[1].astype(np.float64).tobytes() + g.codes[2].astype(np.uint8).tobytes()
+    codes = packed_codes(g) if g.o.inline_codes and g._n else b""
     known = [f for f in g.filter if f is not None]
     return {
         "n": g._n, "dim": g.dim, "entry": g.entry, "lo": min(known, default=None), "hi": max(known, default=None), "row_id": list(g.ids), "filter_val": list(g.filter), "deleted": list(g.deleted),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import metrics
 from nearfield.operators import cache, exact, telemetry
-from nearfield.operators.graph import COUNTERS, PackedGraph, ShardGraph, pack
+from nearfield.operators.graph import COUNTERS, PackedGraph, ShardGraph, pack, packed_codes
 from nearfield.plans import stats
 from nearfield.plans.options import IndexOptions, SearchOptions
 from nearfield.sources.store import Store
@@ -113,6 +113,20 @@ class GraphIndex:
         """One row per shard, as stored."""
         return self.spark.read.schema(SHARDS).parquet(self.store.folder(self.manifest["nodes"], "nodes"))
 
+    @property
+    def coded(self) -> DataFrame:
+        """The shards with codes, computed where none are stored (the cache keeps them)."""
+        if self.options.inline_codes:
+            return self.shards
+        o, at = self.options, ROW.get_field_index("codes")
+
+        def encode(batches):
+            for batch in batches:
+                codes = [packed_codes(PackedGraph(o, row)) if row["n"] else b"" for row in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(codes, pa.binary())], names=batch.schema.names)
+
+        return self.shards.mapInArrow(encode, SHARDS)
+
     @property
     def gone(self) -> DataFrame | None:
         """(row_id) of deletions that aren't in the shards yet."""

@@ -214,6 +214,8 @@ def test_cache_and_counters(spark, table, tmp_path, q):
     assert one.scans >= 1 and one.cc_hits == 0 and one.emits >= 10
     assert a.search(q, 10).collect() == cold and a.search(q, 10, cache_mb=0).collect() == cold
     assert a.search(q, 10, use_codes=True, ef_search=10_000).collect() == a.search(q, 10, ef_search=10_000).collect()
+    held = cache._entries[a.name]
+    assert held.codes and len(held.frame.first().codes) > 0 and a.shards.first().codes == b""  # codes are computed once, into the cache
     warm = telemetry.scan_stats(spark).first()
     assert warm.cc_hits > 0 and warm.reranks > 0
     b.search(q, 10).collect()
