@@ -399,7 +399,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     the least doc_id (null last), then of the least hash. Rows without words stay."""
     signed, known = _groups(docs, percent, by_id=False)
     rows = signed.where("c IS NOT NULL").groupBy("row", "c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")).join(known, "c")
-    best = rows.where(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("group").agg(F.min("row").alias("_best"))
+    rows, _ = materialize(rows, "rows")  # tables: the rows of a large group can then be split in the join
+    best, _ = materialize(rows.where(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("group").agg(F.min("row").alias("_best")), "best")
     judged, _ = materialize(rows.join(best, "group").select("row", "_n", (F.col("row") == F.col("_best")).alias("_kept")), "judged")
     gone, _ = materialize(judged.where("NOT _kept OR _n > 1").select(F.col("row").alias("_row"), "_kept"), "gone")
     keyed = wrapped(docs).select("_doc", F.xxhash64("_doc.doc_id", "_doc.text").alias("_key"))
