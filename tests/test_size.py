@@ -1,9 +1,12 @@
 """Queries over every pair of a query set and the table, in forms that hold at size."""
 
+import numpy as np
 import pytest
 
 from nearfield import queries as q
 from nearfield.operators import evaluate
+from nearfield.operators.graph import PackedGraph, ShardGraph, pack
+from nearfield.plans.options import IndexOptions
 
 BLOCKED = ["recall_at_k", "recall_postfilter_by_multiplier", "returned_counts", "three_way_comparison", "rerank_top50_recall", "knn_lateral"]
 
@@ -13,3 +16,42 @@ def test_pairs_meet_in_blocks(spark, sf, name):
     """No pair is a row of a nested loop: that took over 25 s for 5 million pairs."""
     nodes = evaluate.plan_nodes(q.QUERIES[name](spark, sf))
     assert "FlatMapCoGroupsInArrow" in nodes and not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(nodes)
+
+
+def packed(metric="l2", n=400, **options):
+    x = np.random.default_rng(3).normal(size=(n, 16)).astype(np.float32)
+    g = ShardGraph(IndexOptions(gamma=2, ef_construction=32, metric=metric, **options), 16, 1)
+    g.add(range(n), [i % 100 for i in range(n)], list(x))
+    row = pack(g)
+    return PackedGraph(g.o, row | {"row_id": np.array(row["row_id"]), "deleted": np.arange(n) % 9 == 0}), x.astype(float)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_many_searches_find_what_single_ones_do(metric):
+    """At every budget: same rows, same counters; nodes that nothing links are found by neither."""
+    g, x = packed(metric)
+    for ef in (1, 30, 100, 400):
+        for codes in (False, True):
+            many, count = g.search_many(x[::10], np.arange(400) % 100 < 20, ef, 10, codes=codes)
+            single = [g.search(v, np.arange(400) % 100 < 20, ef, 10, codes=codes) for v in x[::10]]
+            assert [g.ids[at].tolist() for at, _ in many] == [[i for _, i in found] for found, _ in single]
+            np.testing.assert_allclose([d for _, far in many for d in far], [d for found, _ in single for d, _ in found], atol=1e-9)
+            assert count == {c: sum(s[1][c] for s in single) for c in count}
+    g._links, g._extra = np.full_like(g._links, g.entry), np.full_like(g._extra, g.entry)
+    assert [len(at) for at, _ in g.search_many(x[:5], np.ones(400, bool), 400, None)[0]] == [len(g.search(v, np.ones(400, bool), 400, None)[0]) for v in x[:5]]
+
+
+def test_exhaustive_batch_walks_once(monkeypatch):
+    """A budget that covers the shard: the links are walked once, not for each query."""
+    g, x = packed()
+    want = [g.search(v, np.ones(400, bool), 10_000_000, 10)[0] for v in x[:50]]
+    monkeypatch.setattr(PackedGraph, "search", None)
+    monkeypatch.setattr(PackedGraph, "_in_step", None)
+    assert [g.ids[at].tolist() for at, _ in g.search_many(x[:50], np.ones(400, bool), 10_000_000, 10)[0]] == [[i for _, i in found] for found in want]
+
+
+def test_table_of_distances_builds_the_same_graph(monkeypatch):
+    a = packed(diversify=True)[0]
+    monkeypatch.setattr("nearfield.operators.graph.TABLE_NODES", 0)
+    b = packed(diversify=True)[0]
+    assert (a._links == b._links).all() and (a._extra == b._extra).all()
