@@ -55,3 +55,12 @@ def test_table_of_distances_builds_the_same_graph(monkeypatch):
     monkeypatch.setattr("nearfield.operators.graph.TABLE_NODES", 0)
     b = packed(diversify=True)[0]
     assert (a._links == b._links).all() and (a._extra == b._extra).all()
+
+
+TARGETS = ["graph_target_recall_90"]
+
+
+@pytest.mark.parametrize("name", TARGETS)
+def test_truth_of_recall_targets_meets_in_blocks(spark, sf, name):
+    nodes = evaluate.plan_nodes(q.QUERIES[name](spark, sf))
+    assert "FlatMapCoGroupsInArrow" in nodes and not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(nodes)
