@@ -57,7 +57,7 @@ def test_table_of_distances_builds_the_same_graph(monkeypatch):
     assert (a._links == b._links).all() and (a._extra == b._extra).all()
 
 
-TARGETS = ["graph_target_recall_90", "graph_target_recall_99"]
+TARGETS = ["graph_target_recall_90", "graph_target_recall_99", "graph_target_recall_after_inserts"]
 
 
 @pytest.mark.parametrize("name", TARGETS)
