@@ -5,7 +5,7 @@ import pytest
 
 from nearfield import queries as q
 from nearfield.operators import evaluate, exact
-from nearfield.operators.graph import PackedGraph, ShardGraph, pack
+from nearfield.operators.graph import PackedGraph, ShardGraph, _order, pack
 from nearfield.plans.options import IndexOptions
 
 BLOCKED = ["recall_at_k", "recall_postfilter_by_multiplier", "returned_counts", "three_way_comparison", "rerank_top50_recall", "knn_lateral"]
@@ -117,3 +117,11 @@ def test_pairs_of_blocks_are_spread_out(spark, sf):
     df = q.items(spark, sf)
     plan = exact.knn_batch(df, q.batch(df), 10, strategy="blocks")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_order_of_ties():
+    """Places of equal distances come in their order, however the rows are sorted."""
+    d = np.random.default_rng(2).integers(0, 40, (200, 300)).astype(float)
+    d[::2] = np.random.default_rng(3).random((100, 300))
+    d[5, 7] = np.nan
+    assert (_order(d) == np.argsort(d, axis=1, kind="stable")).all()
