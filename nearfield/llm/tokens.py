@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -34,7 +35,10 @@ _loaded: dict[str, tuple] = {}
 
 
 #: Letters that normalizers (NFC, lower case) turn into letters; all others are encoded piece by piece.
-WORD, CLOSED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$"
+WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Such letters and signs (no apostrophe, which may begin a word) after them.
+HEAD, SIGNS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CLOSED = HEAD + r"[!-&(-/:-@\[-`{-~]+$"
 
 
 def _spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,6 +80,9 @@ class Encoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.ids = np.zeros(0, self.kind)
         names = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
+        rules = json.loads(self.tokenizer.normalizer.__getstate__()) if self.tokenizer.normalizer else {}
+        self.lowers = any(r.get("type") == "Lowercase" for r in rules.get("normalizers", [rules]))
+        self.whole = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in the text as it is
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
         for name, i in names:
             self.ends[i] = name.endswith("</w>")
@@ -103,19 +110,20 @@ class Encoder:
 
     def _learn(self) -> None:
         pieces, self.table.new = pa.array(self.table.new, pa.string()), []
-        # Letters and one closing point or comma are two words; the first is encoded once.
+        # Letters and closing signs are two words; each is encoded once.
         two = pc.match_substring_regex(pieces, CLOSED)
-        heads = pc.if_else(two, pc.utf8_rtrim(pieces, ".,"), pieces).dictionary_encode()
-        head = heads.indices.to_numpy()
-        tail = np.where(two.to_numpy(zero_copy_only=False), np.where(pc.ends_with(pieces, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
-        ids, counts = self._ids(pa.concat_arrays([heads.dictionary, pa.array([".", ","])]))
+        heads = pc.if_else(two, pc.utf8_rtrim(pieces, SIGNS), pieces).dictionary_encode()
+        tails = pc.replace_substring_regex(pieces.filter(two), HEAD, "").dictionary_encode()
+        head, closed = heads.indices.to_numpy(), np.flatnonzero(two.to_numpy(zero_copy_only=False))
+        tail = tails.indices.to_numpy() + len(heads.dictionary)
+        ids, counts = self._ids(pa.concat_arrays([heads.dictionary, tails.dictionary]))
         begin = np.cumsum(counts) - counts
-        n = counts[head] + (tail > 0)
+        n = counts[head]
+        n[closed] += counts[tail]
         start = np.cumsum(n) - n
         flat = np.zeros(int(n.sum()), self.kind)
         flat[_spread(start, counts[head])] = ids[_spread(begin[head], counts[head])]
-        closed = np.flatnonzero(tail)
-        flat[start[closed] + counts[head[closed]]] = ids[begin[len(heads.dictionary) - 1 + tail[closed]]]
+        flat[_spread(start[closed] + counts[head[closed]], counts[tail])] = ids[_spread(begin[tail], counts[tail])]
         self.begin = np.concatenate([self.begin, start + len(self.ids)])
         self.length = np.concatenate([self.length, n])
         self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
@@ -138,7 +146,12 @@ class Encoder:
         """All ids of the texts (null: none) in a row, and where each text's end."""
         if len(self.table) > self.cached:
             self.trim(self.cached // 2)
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.lowers:  # in small letters before, as fewer pieces differ
+            lower = pc.ascii_lower(texts)
+            if not any(pc.any(pc.match_substring(lower, t)).as_py() for t in self.whole):
+                texts = lower
+        split = pc.ascii_split_whitespace(texts)
         pieces = split.flatten().dictionary_encode()
         each = np.fromiter(map(self.table.__getitem__, _strings(pieces.dictionary)), np.int64, len(pieces.dictionary))
         if self.table.new:

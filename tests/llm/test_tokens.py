@@ -12,7 +12,7 @@ from nearfield.llm.tokens import Encoder, token_output
 from nearfield.llm.wavelet import Shard, encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-PLAIN = Tokenizer.from_file(PATH)
+PLAIN, SHARED = Tokenizer.from_file(PATH), Encoder(PATH)
 TEXTS = ["", None, "  a  b\n\nc ", "It's 12.5%, ok...", "naïve café İstanbul ΣΑΣ क़ख़", "ábc d́ ́", "x\x1cy\x85z w　v", "<|endoftext|> <|startoftext|>x", "日本語。テスト,", ",a,b. c,. d.,", "ﬁ ﬂ ¼", "क़. क़", "É. ß, ÿ.", "word " * 20000]
 
 
@@ -38,6 +38,27 @@ def test_encoder_on_any_text(texts):
     assert encoded(Encoder(PATH), texts) == [ids(t) for t in texts]
 
 
+SIGNED = ["word$$$ Word!! WORD.*** word,&&& it's!' don't. [x] x's. a_b x_ x\\ x]^`{|}~ \"x\"", "<|EndOfText|> <|endoftext|>. X<|STARTOFTEXT|>!", "ÜBER$$ Éa.% ª! ×! ÷", "I\u0307. A\u0301!! =\u0338 x=\u0338 K\u212a!", "Word WORD word"]
+
+
+def test_letters_with_signs_are_encoded_by_parts():
+    """Of words in capitals, or with signs after them, letters and signs are encoded once each, not every piece."""
+    enc, seen = Encoder(PATH), []
+    plain = enc._ids
+    enc._ids = lambda pieces: seen.extend(pieces.to_pylist()) or plain(pieces)
+    assert encoded(enc, ["word$$$ Word!! WORD.*** word,&&& worD"]) == [ids("word$$$ Word!! WORD.*** word,&&& worD")]
+    assert sorted(seen) == sorted(["word", "$$$", "!!", ".***", ",&&&"])
+    for text in SIGNED:
+        assert encoded(enc, [text, None, text]) == [ids(text), [], ids(text)]
+    assert encoded(Encoder(PATH), SIGNED) == [ids(t) for t in SIGNED]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aZé'$.!<|_ \u0301\u0307Is\\`9", max_size=30), min_size=1, max_size=5))
+def test_encoder_on_letters_and_signs(texts):
+    assert encoded(SHARED, texts) == [ids(t) for t in texts]
+
+
 def test_output(spark):
     rows = [(i * 13 % 101 - 5, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(3, "again"), (3, "again"), (None, "no id")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, start string")
