@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from nearfield import queries as q
-from nearfield.operators import evaluate, exact
+from nearfield.operators import evaluate, exact, graph
 from nearfield.operators.graph import PackedGraph, ShardGraph, _order, pack
 from nearfield.plans.options import IndexOptions
 
@@ -125,3 +125,39 @@ def test_order_of_ties():
     d[::2] = np.random.default_rng(3).random((100, 300))
     d[5, 7] = np.nan
     assert (_order(d) == np.argsort(d, axis=1, kind="stable")).all()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_queries_expand_many_nodes_in_a_step(monkeypatch, metric):
+    """A step for each expansion took most of graph_target_recall_99's and _after_inserts' time. The steps
+    find what one expansion after the other does where vectors repeat, where a budget ends while the walk is
+    still on its way to the query, and where queries are measured in several parts."""
+    steps, plain = [], getattr(graph, "_packed", None)
+    monkeypatch.setattr(graph, "_packed", lambda flags: steps.append(len(flags)) or plain(flags), raising=False)
+    monkeypatch.setattr(graph, "STEP_PAIRS", 12 * 400)
+    rng = np.random.default_rng(11)
+    islands = np.repeat(rng.integers(-40, 40, (8, 16)), 50, axis=0) + rng.integers(0, 3, (400, 16))  # whole numbers: ties are ties however they are measured
+    for x, options in ((rng.normal(size=(400, 16)), {"m": 16}), (islands[rng.permutation(400)], {"m": 3}), (np.repeat(rng.integers(-9, 9, (80, 16)), 5, axis=0), {"m": 4})):
+        g = ShardGraph(IndexOptions(ef_construction=32, metric=metric, **options), 16, 1)
+        g.add(range(400), [i % 100 for i in range(400)], list(x.astype(float)))
+        row = pack(g)
+        g = PackedGraph(g.o, row | {"row_id": np.array(row["row_id"]), "deleted": np.arange(400) % 9 == 0})
+        q, passes = np.concatenate([x[::13], rng.integers(-30, 30, (9, 16))]).astype(float), np.arange(400) % 100 < 20
+        for ef in (1, 2, 17, 60, 200, 399):
+            steps.clear()
+            many, count = g.search_many(q, passes, ef, 10)
+            single = [g.search(v, passes, ef, 10) for v in q]
+            assert [g.ids[at].tolist() for at, _ in many] == [[i for _, i in found] for found, _ in single]
+            assert count == {c: sum(s[1][c] for s in single) for c in count}
+    assert steps  # sets of nodes as bits, not one node after the other
+
+
+def test_recall_reads_its_truth_once(spark):
+    """It was searched twice: once to be counted, once to be joined."""
+    truth = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 5), (3, None)], "qid long, id long")
+    found = spark.createDataFrame([(1, 6), (1, 6), (1, 7), (4, 5)], "qid long, id long")
+    seen = truth.mapInArrow(lambda batches: batches, "qid long, id long")
+    out = evaluate.recall(found, seen.where("id IS NOT NULL"), 10, of_truth=True)
+    assert evaluate.plan_nodes(out).count("MapInArrow") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 0.5), (2, 0, 0.0)]
+    assert sorted(map(tuple, evaluate.recall(found, seen, 10).collect())) == [(1, 1, 0.1), (2, 0, 0.0), (3, 0, 0.0)]
