@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield import queries as q
 from nearfield.operators import evaluate, exact, graph
 from nearfield.operators.graph import PackedGraph, ShardGraph, _order, pack
+from nearfield.operators.index import Best, GraphIndex, _best
 from nearfield.plans.options import IndexOptions
 
 BLOCKED = ["recall_at_k", "recall_postfilter_by_multiplier", "returned_counts", "three_way_comparison", "rerank_top50_recall", "knn_lateral"]
@@ -161,3 +163,29 @@ def test_recall_reads_its_truth_once(spark):
     assert evaluate.plan_nodes(out).count("MapInArrow") == 1
     assert sorted(map(tuple, out.collect())) == [(1, 1, 0.5), (2, 0, 0.0)]
     assert sorted(map(tuple, evaluate.recall(found, seen, 10).collect())) == [(1, 1, 0.1), (2, 0, 0.0), (3, 0, 0.0)]
+
+
+def test_task_keeps_the_k_best_of_its_shards(spark, sf, folder):
+    """As the shards go by, not at the end: that sorted k rows of each query for each shard. A query id may
+    come twice, a batch may be empty."""
+    df = q.items(spark, sf)
+    built = GraphIndex.build(df, folder, IndexOptions(build_seed=1, gamma=2, shard_rows=20))
+    asked = q.batch(df)
+    asked = asked.unionAll(asked.where("qid = 0"))
+    rows = built.search_batch(asked, 5, F.col("filter_val") < 3, ef_search=10_000_000).select("qid", "row_id", F.round("d", 9)).distinct()
+    want = exact.knn_batch(df, q.batch(df), 5, F.col("bucket") < 3, strategy="loop").select("qid", "id", F.round("d", 9))
+    twice = lambda r: r[0] != 0
+    assert sorted(map(tuple, filter(twice, rows.collect()))) == sorted(map(tuple, filter(twice, want.collect())))
+    assert built.search_batch(asked.where("qid < 0"), 5).count() == 0
+
+
+def test_bound_leaves_what_sorting_all_would():
+    """Searching shards one after the other, with the bound of those before, gives the rows of one sort over all."""
+    rng = np.random.default_rng(4)
+    parts = [(np.sort(rng.integers(0, 30, 200)), rng.permutation(200) + 200 * i, rng.integers(0, 40, 200).astype(float)) for i in range(12)]
+    top, sorted_rows = Best(30, 7), []
+    for own, ids, d in parts:
+        sorted_rows.append(top.add(own, ids, d))
+    assert max(sorted_rows) <= 3 * 30 * 7
+    for got, want in zip(top.rows(), _best(*map(np.concatenate, zip(*parts, strict=True)), 7), strict=True):
+        assert (got == want).all()
